@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orelode.llm import packing, tokenizer
+from orelode.llm import language, packing, tokenizer
 from orelode.sources.tables import table
 
 
@@ -18,7 +18,15 @@ def p8_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(table(spark, d, "documents"), table(spark, d, "container_class"))
 
 
-_QUERIES = [p7_ids, p8_packing]
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.language_cases(language.language_segments(table(spark, d, "documents"), table(spark, d, "lang_sample")))
+
+
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    return language.language_segments(table(spark, d, "documents"), table(spark, d, "lang_sample"))
+
+
+_QUERIES = [p7_ids, p8_packing, p9_found, p9_segments]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
