@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orelode.llm import language, packing, tokenizer
+from orelode.llm import credentials, language, packing, tokenizer
 from orelode.sources.tables import table
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    found = credentials.credentials(table(spark, d, "documents"), table(spark, d, "fx_object"), table(spark, d, "scan_report"))
+    return found.select("source_table", "record_id", "byte_offset").distinct()
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.redacted(table(spark, d, "documents"), table(spark, d, "fx_object"), table(spark, d, "scan_report"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.token_ids(table(spark, d, "documents"))
 
@@ -26,7 +35,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return language.language_segments(table(spark, d, "documents"), table(spark, d, "lang_sample"))
 
 
-_QUERIES = [p7_ids, p8_packing, p9_found, p9_segments]
+_QUERIES = [p4_found, p4_redacted, p7_ids, p8_packing, p9_found, p9_segments]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
