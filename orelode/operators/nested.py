@@ -57,7 +57,7 @@ def norm(name: str) -> str:
 def _text(value: Any) -> Any:
     """What a text carries, if it carries JSON; itself otherwise."""
     for _ in range(8):
-        if not isinstance(value, str):
+        if not isinstance(value, str) or value.lstrip("\ufeff \t\r\n")[:1] not in ("{", "[", '"', "n"):
             return value
         try:
             value = json.loads(value.lstrip("﻿"))
@@ -185,9 +185,11 @@ def rows_of(report_id: int | None, body: str | None) -> Iterator[dict[str, Any]]
         if (inner := _text(timeline)) is not None and inner != []:
             yield row("timeline", 0, _shared.classify(timeline), inner[0] if isinstance(inner, list) else inner, TIMELINE)
         for table, name, names in (("occurrence", "occurrences", OCCURRENCE), ("signal", "evidencesignals", SIGNAL)):
-            for pos, x in enumerate(_listed(f.get(name))):
+            items = _listed(f.get(name))
+            variant = _shared.classify(f[name]) if items else ""
+            for pos, x in enumerate(items):
                 if x is not None:
-                    yield row(table, pos, _shared.classify(f[name]), x, names)
+                    yield row(table, pos, variant, x, names)
 
 
 _shared = Automaton()

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orelode.plans import data_problems
+from orelode.plans import data_problems, forensics
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = [data_problems]
+_MODULES = [data_problems, forensics]
 
 
 def queries() -> dict[str, Query]:
