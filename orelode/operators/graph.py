@@ -1,6 +1,7 @@
 """Reachability over an object graph, and the exposure of its blobs.
 
-The graph is cut into chunks by (repository, time).  In each round every chunk
+The graph is cut into chunks along its own chains (see
+:func:`orelode.operators.hierarchy.placement`).  In each round every chunk
 follows its own links as far as they go; only nodes entered from another chunk
 go to the next round, if they were not entered before.  A round costs one
 shuffle of the links and the entered nodes; rounds number as many as the chunk
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orelode.operators.hierarchy import _batches, _chunks
+from orelode.operators.hierarchy import _batches, placement
 from orelode.session import materialize
 
 _REACHED = "kind string, tag string, node string, chunk int"
@@ -64,11 +65,9 @@ def closure(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, tag: str = "cl
     ``nodes(node, part, pos)`` are those with edges of their own, one row each;
     ``edges(src, dst)`` may end in others, which are leaves; ``seeds(tag, node)``.
     """
-    spark = nodes.sparkSession
-    nodes = materialize(nodes.select("node", "part", "pos"), f"{tag}-nodes")
-    p = _chunks(spark, nodes.count())
-    placed = materialize(nodes.repartitionByRange(p, "part", "pos", "node").select("node", F.spark_partition_id().alias("chunk")), f"{tag}-placed")
-    links = edges.select(F.col("src").alias("node"), F.col("dst").alias("child")).distinct().join(placed, "node")
+    edges = materialize(edges.select(F.col("src").alias("parent"), F.col("dst").alias("child")).distinct(), f"{tag}-edges")
+    placed = placement(nodes, edges, tag)
+    links = edges.select(F.col("parent").alias("node"), "child").join(placed, "node")
     links = links.join(placed.select(F.col("node").alias("child"), F.col("chunk").alias("other")), "child", "left").select(
         # -1: the child lies in the same chunk; null: it has no edges of its own
         "chunk", F.lit(0).alias("order"), F.lit(None).cast("string").alias("tag"), "node", "child", F.when(F.col("other") == F.col("chunk"), -1).otherwise(F.col("other")).alias("to"),

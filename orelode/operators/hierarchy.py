@@ -211,6 +211,24 @@ def _ring_nodes(rest: DataFrame, m: int, tag: str) -> DataFrame:
     return step.select(F.col("to").alias("node")).distinct()
 
 
+def placement(nodes: DataFrame, links: DataFrame, tag: str) -> DataFrame:
+    """``(node, chunk)``: where each node lies, so that few paths leave a chunk.
+
+    A node that several others link to is hung below one of them; the forest of
+    these links is found as above, and nodes are cut into chunks by range of
+    (the root's repository, root, depth).  A chain thus lies in one chunk, or
+    crosses borders once per chunk it fills.  ``links(parent, child)``.
+    """
+    nodes = materialize(nodes.select("node", "part", "pos"), f"{tag}-nodes")
+    above = links.groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("parent"))
+    hung = forest(nodes.join(above, "node", "left").select("node", "parent", "part", "pos"), f"{tag}-hung")
+    of_root = nodes.select(F.col("node").alias("root"), F.col("part").alias("root_part"))
+    where = hung.join(of_root, "root", "left").join(nodes.select("node", "part"), "node")
+    where = where.select("node", F.coalesce("root_part", "part").alias("a"), F.coalesce("root", F.lit("")).alias("b"), F.col("depth").alias("c"))
+    p = _chunks(nodes.sparkSession, nodes.count())
+    return materialize(where.repartitionByRange(p, "a", "b", "c", "node").select("node", F.spark_partition_id().alias("chunk")), f"{tag}-placed")
+
+
 # ------------------------------------------------- hierarchies with shared parts
 
 
@@ -371,10 +389,7 @@ def walk_graph(nodes: DataFrame, links: DataFrame, roots: DataFrame, tag: str =
     ``roots(node)``, all distinct.  A path can repeat only nodes that lie on
     circles, so a state carries just those it has passed.
     """
-    spark = nodes.sparkSession
-    nodes = materialize(nodes, f"{tag}-nodes")
-    p = _chunks(spark, nodes.count())
-    placed = materialize(nodes.repartitionByRange(p, "part", "pos", "node").select("node", F.spark_partition_id().alias("chunk")), f"{tag}-placed")
+    placed = placement(nodes, links, tag)
     links = (
         links.join(placed.select(F.col("node").alias("parent"), "chunk"), "parent")
         .join(placed.select(F.col("node").alias("child"), F.col("chunk").alias("cchunk")), "child")

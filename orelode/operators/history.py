@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orelode.limits import MAX_TREE_DEPTH
-from orelode.operators.hierarchy import _batches, _chunks
+from orelode.operators.hierarchy import _batches, placement
 from orelode.session import materialize
 
 #: Sentences of the report (fixed values).
@@ -57,10 +57,8 @@ def tree_paths(roots: DataFrame, entries: DataFrame, max_depth: int = MAX_TREE_D
     at two paths gives both.  Expansion stops where a tree contains itself, or
     beyond ``max_depth``.
     """
-    spark = entries.sparkSession
-    nodes = materialize(entries.groupBy("node").agg(F.min("part").alias("part"), F.min("pos").alias("pos")), "paths-nodes")
-    p = _chunks(spark, nodes.count())
-    placed = materialize(nodes.repartitionByRange(p, "part", "pos", "node").select("node", F.spark_partition_id().alias("chunk")), "paths-placed")
+    nodes = entries.groupBy("node").agg(F.min("part").alias("part"), F.min("pos").alias("pos"))
+    placed = placement(nodes, entries.where("mode = '40000' and child is not null").select(F.col("node").alias("parent"), "child").distinct(), "paths")
     leaf = F.col("mode").isin("100644", "100755", "120000")
     use = entries.where("child is not null").where(leaf | (F.col("mode") == "40000")).select("node", "child", "name", leaf.alias("leaf")).distinct()
     links = use.join(placed, "node").join(placed.select(F.col("node").alias("child"), F.col("chunk").alias("other")), "child", "left")
