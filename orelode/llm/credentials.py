@@ -489,8 +489,8 @@ def _redact(batches: Iterable[pa.RecordBatch], model) -> Iterator[pa.RecordBatch
 def sources(documents: DataFrame, objects: DataFrame, reports: DataFrame) -> DataFrame:
     """``(source_table, record_id, payload)`` of all that is searched.
 
-    Objects stored in several copies with equal payloads are searched once:
-    copies meet by OID and digest, and only one payload of each moves.
+    Payloads do not move: copies of an object are searched where they lie, and
+    their rows, which are few, are made distinct afterwards.
     """
     from orelode.operators.nested import flat_tables
 
