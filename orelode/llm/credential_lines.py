@@ -62,7 +62,7 @@ def secret(r: random.Random, kind: str) -> str:
         return base64.b64encode(_pem(r, glue="\n", lines=2).encode()).decode()
     style = r.randrange(9)  # P: what people and generators make up
     if style == 0:
-        return syllables(r, 3).capitalize() + str(r.randint(100, 9999)) + r.choice("!#$%&*?@")
+        return syllables(r, 3).capitalize() + str(r.randint(100, 9999)) + r.choice(("", *"!#$%&*?@"))
     if style == 1:
         return "-".join(syllables(r, r.choice((2, 3))) for _ in range(r.choice((3, 4))))
     if style == 2:
@@ -88,6 +88,8 @@ password: "{SP}"
 passwd = '{SP}'
 pwd = "{SP}"
 pass: {SP}
+pw: {SP}
+pw = "{SP}"
 db_pass = "{SP}"
 Password: "{SP}",
 Passwort = "{SP}"
@@ -227,6 +229,10 @@ Das vorläufige Passwort für die Testmaschine ist {SL} bis Freitag.
 A senha temporária da máquina de teste é {SL} até sexta-feira.
 Het tijdelijke wachtwoord van de testmachine is {SL} tot vrijdag.
 Tymczasowe hasło do maszyny testowej to {SL} do piątku.
+Tymczasowe hasło do serwera testowego to {SL} i działa do piątku.
+Hasło do konta {u} to {SL} i nie zmienia się.
+Le mot de passe provisoire du serveur de recette est {SL} jusqu'à vendredi.
+検証機の仮のパスワードは {SL} で、金曜日まで有効です。
 Временный пароль для тестовой машины {SL} до пятницы.
 テスト機の仮パスワードは {SL} です。
 """

@@ -37,26 +37,46 @@ FEATURES = 19
 # ------------------------------------------------------------------ windows
 
 #: What lines with credentials contain, in lower case (fixed values), as bytes seen one by one.
-TRIGGERS = [w.encode().decode("latin-1") for w in ("passw", "pass", "pwd", "pw was", "secret", "token", "key", "authoriz", "auth_", "_auth", "authtoken", "auth:", "auth=", "bearer", "basic ", "identified by", "-u ", "--user ", "jwt", "credential", "contrase", "mot de passe", "senha", "wachtwoord", "hasło", "пароль", "パスワード", "://")]
+STRONG = [w.encode().decode("latin-1").lower() for w in ("passw", "pass", "pwd", "pw was", "pw:", "pw =", "pw=", "pw\"", "secret", "bearer", "basic ", "identified by", "jwt", "credential", "contrase", "mot de passe", "mot_de_passe", "senha", "wachtwoord", "hasło", "haslo", "пароль", "パスワード")]
+#: Words that ordinary code has as well: their lines must hold more than names and numbers.
+WEAK = ["token", "key", "authoriz", "auth_", "_auth", "authtoken", "auth:", "auth=", "-u ", "--user ", "://"]
+TRIGGERS = STRONG + WEAK
 #: The same where case counts: prefixes that credentials themselves have.
 PREFIXES = ["-----BEGIN", "LS0tLS1CRUdJTi", "AKIA", "ASIA", "AIDA", "AROA", "AGPA", "AIPA", "ANPA", "ANVA", "A3T", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "eyJ"]
 _FIVE = re.compile(r":\d{2,5}:[^:\s]{1,64}:[^:\s]{1,64}:\S")
 _URL_AUTH = re.compile(r"://[^\s/@\"'`<>]{0,200}:[^\s/@\"'`<>]{1,200}@|://[^\s/:@\"'`<>]{12,200}@|[?&][\w.-]*(?:token|key|secret|passw|auth|sig)[\w.-]*=", re.I)
 _RUN = re.compile(r"[A-Za-z0-9_+/=.~!@#$%^&*?\x80-\U0010ffff-]{6,}")
 _PART = re.compile(r"(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*\d{0,4}|[A-Z]{1,12}\d{0,2}|\d+)\Z")
-_SPLIT = re.compile(r"[_+/=.-]+")
+_HUMP = re.compile(r"[A-Z]?[a-z]+")
+_HARD = re.compile(r"[bcdfghjklmnpqrstvwxz]{5,}", re.I)
+_SPLIT = re.compile(r"[_+/.-]+")
 _BELOW = re.compile(r"[:=]\s*(?:[>|][-+]?|\\)\Z")
-#: A line of a binary patch: a length and letters of base 85, many of them signs.
-_PATCH = re.compile(r"[A-Za-z](?=(?:[0-9A-Za-z]*[!#$%&()*+;<=>?@^_`{|}~]){6})[!#-&(-~]{40,}\Z")
+_SIGNS = frozenset("!#$%&()*+;<=>?@^_`{|}~")
 _BEFORE, _AFTER = 160, 520
 
 
+def _patch_line(line: str) -> bool:
+    """A line of a binary patch: a length and letters of base 85, many of them signs."""
+    return len(line) >= 40 and line[0].isalpha() and "://" not in line and not any(c in " \t\"'" for c in line) and sum(c in _SIGNS for c in line) >= 6
+
+
+def _name(part: str) -> bool:
+    """A word, several in one (camelCase), or a number; letters that cannot be said are none."""
+    if not _PART.match(part):
+        return False
+    humps = _HUMP.findall(part)
+    return not (len(humps) > 2 and any(len(h) < 3 for h in humps[1:]) or _HARD.search(part))
+
+
 @lru_cache(maxsize=100_000)
 def _plain(run: str) -> bool:
-    """A name or number rather than a made-up value."""
-    if run.count("-") >= 2 and not run.startswith("-") and not any(c in run for c in "/=.+"):
-        return False
-    return all(not p or _PART.match(p) for p in _SPLIT.split(run))
+    """Names and numbers rather than a made-up value."""
+    for x in re.split(r"[=:]", run):
+        if x.count("-") >= 2 and not x.startswith("-") and not any(c in x for c in "/.+"):
+            return False
+        if not all(not p or _name(p) for p in _SPLIT.split(x)):
+            return False
+    return True
 
 
 def _worth(line: str) -> bool:
@@ -71,6 +91,7 @@ def windows(text: str) -> list[tuple[int, int]]:
     if len(low) != len(flat):
         low = flat.encode("ascii", "replace").decode().lower()
     found: list[tuple[int, int]] = []
+    sure: set[tuple[int, int]] = set()
 
     def line(i: int, reach: int = _AFTER) -> None:
         a = flat.rfind("\n", max(0, i - _BEFORE), i) + 1 or max(0, i - _BEFORE)
@@ -79,7 +100,8 @@ def windows(text: str) -> list[tuple[int, int]]:
             z = min(len(flat), i + reach)
         found.append((a, z))
 
-    for t in TRIGGERS:
+    for k, t in enumerate(TRIGGERS):
+        strong = k < len(STRONG)
         i = low.find(t)
         while i >= 0:
             if t == "://":
@@ -87,6 +109,8 @@ def windows(text: str) -> list[tuple[int, int]]:
                     line(i)
             else:
                 line(i)
+                if strong:
+                    sure.add(found[-1])
             i = low.find(t, i + len(t))
     for t in PREFIXES:
         i = flat.find(t)
@@ -96,30 +120,31 @@ def windows(text: str) -> list[tuple[int, int]]:
                 a, z = found.pop()
                 n = flat.find("\n", z + 1 + (flat[z : z + 2] == "\n\n"))
                 found.append((a, min(len(flat), n if 0 <= n <= z + 160 else z + 160)))
+            sure.add(found[-1])
             i = flat.find(t, i + len(t))
     for m in _FIVE.finditer(flat):
         line(m.start())
     if not found:
         return []
     found.sort()
-    merged = [found[0]]
+    merged = [(*found[0], found[0] in sure)]
     for a, z in found[1:]:
-        if a <= merged[-1][1]:
-            if z > merged[-1][1]:
-                merged[-1] = (merged[-1][0], z)
+        b, y, s = merged[-1]
+        if a <= y:
+            merged[-1] = (b, max(y, z), s or (a, z) in sure)
         else:
-            merged.append((a, z))
+            merged.append((a, z, (a, z) in sure))
     out = []
-    for a, z in merged:
+    for a, z, s in merged:
         part = flat[a:z]
-        if _PATCH.match(part) and "://" not in part:
+        if _patch_line(part):
             continue
         tail = part.rstrip()
         if _BELOW.search(tail) and z < len(flat):  # goes on below
             n = flat.find("\n", z + 1 + (flat[z : z + 2] == "\n\n"))
             z = min(len(flat), n if 0 <= n <= z + 400 else z + 400)
             part = flat[a:z]
-        if _worth(part):
+        if s or _worth(part):
             out.append((a, z))
     return out
 
@@ -128,7 +153,7 @@ def windows(text: str) -> list[tuple[int, int]]:
 
 _TOKEN = re.compile(r"[A-Za-z0-9_\x80-\U0010ffff]+|[^\S\n\r]+|[\n\r]+|.")
 _CHUNK = re.compile(r"[^\s\"'`<>(),;{}\[\]]+")
-_KEYWORD = re.compile(r"pass|pw(?:d|\b)|secret|bearer|basic|token|auth|jwt|identified|cred|contrase|senha|wachtwoord|key|user|login", re.I)
+_KEYWORD = re.compile(r"pass|pw(?:d|\b)|has\xc5\x82o|\xd0\xbf\xd0\xb0\xd1\x80\xd0\xbe\xd0\xbb\xd1\x8c|secret|bearer|basic|token|auth|jwt|identified|cred|contrase|senha|wachtwoord|key|user|login", re.I)
 _WARN = re.compile(r"sha\d+|checksum|digest|integrity|fingerprint|pinned|revision|rev\b|etag|uuid|\bid\b|base64,|ssh-rsa|CERTIFICATE|PUBLIC KEY|SIGNATURE|environ|getenv|get_secret|input\(|vault|re\.compile|startswith|Change-Id|commit\b", re.I)
 _HEX = re.compile(r"[0-9a-f]+\Z")
 _UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\Z", re.I)
@@ -157,6 +182,9 @@ def _bucket(n: int) -> int:
     return n if n < 5 else 5 + (n > 6) + (n > 8) + (n > 11) + (n > 15) + (n > 19) + (n > 20) + (n > 27) + (n > 31) + (n > 32) + (n > 39) + (n > 40) + (n > 63) + (n > 64)
 
 
+_REF = re.compile(r"\$[{(A-Za-z_]|%[({]|![a-z]+(?:-[a-z]+)*\Z|<")
+
+
 @lru_cache(maxsize=50_000)
 def _chunk_kind(c: str) -> tuple[str, str, str]:
     """(known form, whether plain, make-up) of a chunk or part of one."""
@@ -172,7 +200,7 @@ def _chunk_kind(c: str) -> tuple[str, str, str]:
             known = "uuid"
         elif len(set(c.lower())) <= 2 and len(c) > 4:
             known = "fill"
-        elif c[:1] in "$%!" or "..." in c:
+        elif _REF.match(c) or "..." in c:
             known = "ref"
     u = sum("A" <= x <= "Z" for x in c)
     d = sum("0" <= x <= "9" for x in c)
@@ -350,7 +378,7 @@ _PEM_HEAD = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PUBLIC_HEAD = re.compile(r"-----BEGIN [A-Z0-9 ]+-----(?:\\r|\\n|\s)")
 _PEM_BODY = re.compile(r"(?:\\r|\\n|[\s+\->|\"'#*\\]|//)*(?:[A-Za-z-]+: [^\n]*\n)*(?:\\r|\\n|[\s+\->|\"'#*])*[A-Za-z0-9+/=]{16,}")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_REFERENCE = re.compile(r"[<$%{\[!(]|\*{3,}|x{4,}|X{4,}|\.{3}|your|change.?me|example|placeholder|redacted|hidden|dummy|none\Z|null\Z|true\Z|false\Z|os\.|process\.|env\b|getenv|vault", re.I)
+_REFERENCE = re.compile(r"[<{\[(]|\$[{(A-Za-z_]|%[({]|![a-z]+(?:-[a-z]+)*\Z|\*{3,}|x{4,}|X{4,}|\.{3}|your|change.?me|example|placeholder|redacted|hidden|dummy|none\Z|null\Z|true\Z|false\Z|os\.|process\.|env\b|getenv|vault", re.I)
 _GLUE = re.compile(r"[\"'\s,+.&|()\[\]-]{1,12}\Z")
 _TRIM = " \t\r\n\"'`,;"
 
