@@ -211,6 +211,58 @@ def _ring_nodes(rest: DataFrame, m: int, tag: str) -> DataFrame:
     return step.select(F.col("to").alias("node")).distinct()
 
 
+_SEGMENT = "node string, top string, segment array<string>, ext string"
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, local root, nodes from the local root down, the root's parent outside)."""
+    links: dict[str, str | None] = {}
+    for b in batches:
+        links.update(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+
+    def rows():
+        for node, root, off, ext, _ in resolve(links):
+            if off < 0:
+                continue
+            line = [node]
+            while line[-1] != root:
+                line.append(links[line[-1]])
+            yield node, root, line[::-1], ext
+
+    yield from _batches(rows(), ["node", "top", "segment", "ext"], [pa.string(), pa.string(), pa.list_(pa.string()), pa.string()], 1_000)
+
+
+def forest_paths(nodes: DataFrame, tag: str = "paths") -> DataFrame:
+    """``(node, path)``: the nodes from the root down to each node, by indexed parent traversal.
+
+    Each chunk walks its own parents; the paths of the few local roots whose
+    parent lies elsewhere are completed chunk by chunk, then put before the
+    segments.  Nodes that end in a circle have no path.
+    """
+    nodes = materialize(nodes.select("node", "parent", "part", "pos"), f"{tag}-nodes")
+    p = _chunks(nodes.sparkSession, nodes.count())
+    local = materialize(nodes.repartitionByRange(p, "part", "pos", "node").select("node", "parent").mapInArrow(_segments, _SEGMENT), f"{tag}-local")
+    heads = local.where("node = top")
+    inner = heads.join(local.select(F.col("node").alias("ext"), F.col("top").alias("over"), F.col("segment").alias("before")), "ext", "left")
+    known_nodes = nodes.select(F.col("node").alias("ext"), F.lit(True).alias("there"))
+    inner = materialize(inner.join(known_nodes, "ext", "left").select("top", "over", "before", F.coalesce("there", F.lit(False)).alias("there")), f"{tag}-inner")
+    done = inner.where("not there").select("top", F.array().cast("array<string>").alias("lead"))
+    whole, fresh = done, done
+    while True:
+        step = inner.where("over is not null").join(fresh.withColumnRenamed("top", "over"), "over").select("top", F.concat("lead", "before").alias("lead"))
+        fresh = materialize(step, f"{tag}-lead")
+        if fresh.isEmpty():
+            break
+        whole = whole.unionByName(fresh)
+    return local.join(whole, "top").select("node", F.concat("lead", "segment").alias("path"))
+
+
+def descendant_counts(paths: DataFrame) -> DataFrame:
+    """``(node, n_descendants)``; each path counts once for every node above its end."""
+    above = paths.select(F.explode("path").alias("node"))
+    return above.groupBy("node").agg((F.count(F.lit(1)) - 1).alias("n_descendants"))
+
+
 def placement(nodes: DataFrame, links: DataFrame, tag: str) -> DataFrame:
     """``(node, chunk)``: where each node lies, so that few paths leave a chunk.
 
@@ -437,16 +489,16 @@ def walk_graph(nodes: DataFrame, links: DataFrame, roots: DataFrame, tag: str =
 # ----------------------------------------------------------- the project's tables
 
 
-def commit_forest(commits: DataFrame) -> DataFrame:
-    """``(node, root, depth)`` of commits by first parent; see :func:`forest`.
-
-    Deliveries of one commit are folded; without repository or time a commit is
-    placed apart, which costs locality only.
-    """
-    nodes = commits.where("commit_sha is not null").groupBy(F.col("commit_sha").alias("node")).agg(
+def commit_nodes(commits: DataFrame) -> DataFrame:
+    """Commits by first parent, a row each; one without repository or time is placed apart, which costs locality only."""
+    return commits.where("commit_sha is not null").groupBy(F.col("commit_sha").alias("node")).agg(
         F.min(F.get("parents", F.lit(0))).alias("parent"), F.min("repo_id").alias("part"), F.min("loaded_at").alias("pos")
     )
-    return forest(nodes, "commit")
+
+
+def commit_forest(commits: DataFrame) -> DataFrame:
+    """``(node, root, depth)`` of commits by first parent; see :func:`forest`."""
+    return forest(commit_nodes(commits), "commit")
 
 
 def tree_walk(entries: DataFrame, commits: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -41,7 +41,12 @@ def _expand(batches: Iterator[pa.RecordBatch], max_depth: int) -> Iterator[pa.Re
                             yield "blob", root, child, full, d, None, None
                         elif child in past or d + 1 > max_depth:
                             yield "deep", root, child, full, d + 1, None, None
-                        elif to is None:
+                            continue
+                        else:
+                            yield "tree", root, child, full, d + 1, None, None
+                        if leaf:
+                            continue
+                        if to is None:
                             todo.append((child, full, d + 1, (*past, child)))
                         else:
                             yield "cross", root, child, full, d + 1, [*past, child], to
@@ -49,8 +54,8 @@ def _expand(batches: Iterator[pa.RecordBatch], max_depth: int) -> Iterator[pa.Re
     yield from _batches(rows(), ["kind", "root", "node", "path", "depth", "line", "chunk"], [pa.string(), pa.string(), pa.string(), pa.binary(), pa.int32(), pa.list_(pa.string()), pa.int32()])
 
 
-def tree_paths(roots: DataFrame, entries: DataFrame, max_depth: int = MAX_TREE_DEPTH) -> tuple[DataFrame, DataFrame]:
-    """``(root, path, blob)`` of each root tree, and ``(root, node, path)`` where expansion stopped.
+def expand_trees(roots: DataFrame, entries: DataFrame, max_depth: int = MAX_TREE_DEPTH) -> DataFrame:
+    """``(kind, root, node, path, depth)``: blobs and trees under each root, and where expansion stopped (``deep``).
 
     ``roots(node)`` distinct; ``entries(node, child, name, mode, part, pos)``.
     Only the standard modes are followed; names are joined as they are.  A tree
@@ -72,13 +77,19 @@ def tree_paths(roots: DataFrame, entries: DataFrame, max_depth: int = MAX_TREE_D
         states = front.select("chunk", F.lit(1).alias("order"), "root", "node", "path", "depth", "line", none("string").alias("child"), none("binary").alias("name"), none("int").alias("to"), none("boolean").alias("leaf"))
         out = edges.join(front.select("chunk").distinct(), "chunk", "left_semi").unionByName(states).repartition("chunk").sortWithinPartitions("chunk", "order")
         out = materialize(out.mapInArrow(lambda it: _expand(it, max_depth), _ROWS), "paths-round")
-        found.append(out.where("kind <> 'cross'").select("kind", "root", "node", "path"))
+        found.append(out.where("kind <> 'cross'").select("kind", "root", "node", "path", "depth"))
         front = out.where("kind = 'cross'").select("root", "node", "path", "depth", "line", "chunk")
         if front.isEmpty():
             break
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
+    return every
+
+
+def tree_paths(roots: DataFrame, entries: DataFrame, max_depth: int = MAX_TREE_DEPTH) -> tuple[DataFrame, DataFrame]:
+    """``(root, path, blob)`` of each root tree, and ``(root, node, path)`` where expansion stopped."""
+    every = expand_trees(roots, entries, max_depth)
     return every.where("kind = 'blob'").select("root", "path", F.col("node").alias("blob")), every.where("kind = 'deep'").select("root", "node", "path")
 
 

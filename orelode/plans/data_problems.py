@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelode.operators import hierarchy, hot_keys, nested, orphans, snapshots
+from orelode.operators import hierarchy, history, hot_keys, nested, orphans, snapshots
 from orelode.sources.tables import table
 
 
@@ -32,6 +32,23 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.hierarchies(table(spark, d, "fx_commit"), table(spark, d, "fx_tree_entry"))
 
 
+def p2_commit_paths(spark: SparkSession, d: str) -> DataFrame:
+    p = hierarchy.forest_paths(hierarchy.commit_nodes(table(spark, d, "fx_commit")), "commit-paths")
+    return p.select("node", F.element_at("path", 1).alias("root"), (F.size("path") - 1).alias("depth"), F.array_join("path", "/").alias("path"))
+
+
+def p2_commit_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.descendant_counts(hierarchy.forest_paths(hierarchy.commit_nodes(table(spark, d, "fx_commit")), "commit-paths"))
+
+
+def p2_tree_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Every tree below every root tree, at every path of names."""
+    e = table(spark, d, "fx_tree_entry").where("tree_oid is not null and name is not null")
+    e = e.select(F.col("tree_oid").alias("node"), F.col("child_oid").alias("child"), "name", "mode", F.col("repo_id").alias("part"), F.col("observed_at").alias("pos"))
+    roots = table(spark, d, "fx_commit").where("tree is not null").select(F.col("tree").alias("node")).distinct()
+    return history.expand_trees(roots, e).where("kind = 'tree'").select("root", "node", F.hex("path").alias("path_hex"), "depth")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     refs = orphans.reference_rows(table(spark, d, "fx_tree_entry"), table(spark, d, "fx_ref"), table(spark, d, "fx_classification"))
     return orphans.orphan_references(refs, table(spark, d, "fx_object"), table(spark, d, "fx_alternate"))
@@ -60,7 +77,7 @@ def p6_flat_tables(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_key_counts, p1_blob_repo_counts, p1_occurrence_lists, p2_found, p3_found, p3_report, p5_found, p5_change_values, p6_found, p6_flat_tables)
+    for f in (p1_found, p1_key_counts, p1_blob_repo_counts, p1_occurrence_lists, p2_found, p2_commit_paths, p2_commit_descendants, p2_tree_paths, p3_found, p3_report, p5_found, p5_change_values, p6_found, p6_flat_tables)
 }
 
 _OCC = "(SELECT DISTINCT * FROM fx_occurrence)"
@@ -87,7 +104,42 @@ SELECT stream_id, snapshot_no, path, CASE WHEN o.stream_id IS NULL THEN 'added'
 FROM (SELECT *, true AS here FROM new) n FULL JOIN (SELECT *, true AS here FROM old) o USING (stream_id, snapshot_no, path)
 WHERE n.here IS NULL OR o.here IS NULL OR n.blob_oid IS DISTINCT FROM o.blob_oid OR n.mode IS DISTINCT FROM o.mode
 """
+_UP = """
+WITH RECURSIVE c AS (SELECT commit_sha AS node, min(parents[1]) AS parent FROM fx_commit WHERE commit_sha IS NOT NULL GROUP BY 1),
+w(node, path) AS (SELECT node, [node] FROM c WHERE parent IS NULL OR parent NOT IN (SELECT node FROM c)
+  UNION ALL SELECT c.node, list_append(path, c.node) FROM w JOIN c ON c.parent = w.node)"""
+_TREES = """
+WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT tree_oid AS node, child_oid AS child, name FROM fx_tree_entry WHERE tree_oid IS NOT NULL AND name IS NOT NULL AND mode = '40000'),
+n AS MATERIALIZED (SELECT DISTINCT tree_oid AS node FROM fx_tree_entry WHERE tree_oid IS NOT NULL AND name IS NOT NULL),
+w(root, node, path, line) AS (
+  SELECT DISTINCT tree, tree, ''::BLOB, [tree] FROM fx_commit WHERE tree IN (SELECT node FROM n)
+  UNION ALL SELECT root, child, CASE WHEN octet_length(path) = 0 THEN name ELSE path || '/'::BLOB || name END, list_append(line, child)
+  FROM w JOIN e USING (node) WHERE child IN (SELECT node FROM n) AND NOT list_contains(line, child))"""
 SQL = {
+    "p2_commit_paths": _UP + " SELECT node, path[1] AS root, CAST(len(path) - 1 AS INTEGER) AS depth, array_to_string(path, '/') AS path FROM w",
+    "p2_commit_descendants": _UP + " SELECT node, count(*) - 1 AS n_descendants FROM (SELECT unnest(path) AS node FROM w) GROUP BY node",
+    "p2_tree_paths": _TREES + " SELECT root, node, hex(path) AS path_hex, CAST(len(line) - 1 AS INTEGER) AS depth FROM w WHERE len(line) > 1",
+    "p2_found": """
+WITH RECURSIVE c AS MATERIALIZED (SELECT commit_sha AS node, min(parents[1]) AS parent FROM fx_commit WHERE commit_sha IS NOT NULL GROUP BY 1),
+w(node, root, depth) AS (SELECT node, node, 0 FROM c WHERE parent IS NULL OR parent NOT IN (SELECT node FROM c) UNION ALL SELECT c.node, root, depth + 1 FROM w JOIN c ON c.parent = w.node),
+r(start, cur, line) AS (SELECT node, parent, [node] FROM c WHERE node NOT IN (SELECT node FROM w)
+  UNION ALL SELECT start, c.parent, list_append(line, cur) FROM r JOIN c ON c.node = cur WHERE cur <> start AND NOT list_contains(line, cur)),
+n AS MATERIALIZED (SELECT DISTINCT tree_oid AS node FROM fx_tree_entry WHERE tree_oid IS NOT NULL),
+e AS MATERIALIZED (SELECT DISTINCT tree_oid AS a, child_oid AS z FROM fx_tree_entry WHERE mode = '40000' AND tree_oid IS NOT NULL AND child_oid IN (SELECT node FROM n)),
+t(root, node, line) AS (SELECT DISTINCT tree, tree, [tree] FROM fx_commit WHERE tree IN (SELECT node FROM n)
+  UNION ALL SELECT root, z, list_append(line, z) FROM t JOIN e ON a = node WHERE NOT list_contains(line, z)),
+reach(a, z) AS (SELECT a, z FROM e UNION SELECT reach.a, e.z FROM reach JOIN e ON e.a = reach.z)
+SELECT 'commit' AS hierarchy, node, root, depth FROM w UNION ALL SELECT DISTINCT 'commit', start, '', -1 FROM r WHERE cur = start
+UNION ALL SELECT DISTINCT 'tree', node, root, CAST(len(line) - 1 AS INTEGER) FROM t UNION ALL SELECT DISTINCT 'tree', a, '', -1 FROM reach WHERE a = z""",
+    "p5_change_values": """
+WITH heads AS (SELECT stream_id, snapshot_no, min(commit_sha) AS observed_commit, min(taken_at) AS observed_at FROM fx_snapshot WHERE stream_id IS NOT NULL GROUP BY ALL),
+nums AS (SELECT *, lag(snapshot_no) OVER (PARTITION BY stream_id ORDER BY snapshot_no) AS last_no FROM heads),
+s AS (SELECT DISTINCT stream_id, snapshot_no, path, blob_oid, mode FROM fx_snapshot WHERE path IS NOT NULL),
+old AS (SELECT n.stream_id, n.snapshot_no, s.path, s.blob_oid AS old_blob, s.mode AS old_mode, true AS o FROM nums n JOIN s ON s.stream_id = n.stream_id AND s.snapshot_no = n.last_no),
+new AS (SELECT s.stream_id, s.snapshot_no, path, blob_oid AS new_blob, mode AS new_mode, true AS n FROM s JOIN nums USING (stream_id, snapshot_no) WHERE last_no IS NOT NULL)
+SELECT stream_id, last_no, snapshot_no, path, CASE WHEN o IS NULL THEN 'added' WHEN n IS NULL THEN 'removed' ELSE 'changed' END AS change, old_blob, old_mode, new_blob, new_mode, observed_commit, observed_at
+FROM (SELECT * FROM new FULL JOIN old USING (stream_id, snapshot_no, path)) JOIN nums USING (stream_id, snapshot_no)
+WHERE o IS NULL OR n IS NULL OR old_blob IS DISTINCT FROM new_blob OR old_mode IS DISTINCT FROM new_mode""",
     "p1_found": f"""
 WITH o AS {_OCC}, k AS (SELECT 'blob' AS key_kind, blob_id AS key_value FROM o UNION ALL SELECT 'commit', commit_sha FROM o)
 SELECT key_kind, key_value FROM k WHERE key_value IS NOT NULL GROUP BY ALL HAVING count(*) * 100 >= (SELECT count(*) FROM o)""",
