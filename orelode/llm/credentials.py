@@ -401,7 +401,9 @@ def accepted(text: str, a: int, z: int) -> tuple[int, int] | None:
         return None
     begun = text.rfind("-----BEGIN ", max(0, a - 6_000), a)
     if begun >= 0 and text.find("-----END ", begun, a) < 0 and not _PEM_HEAD.match(text, begun) and _PUBLIC_HEAD.match(text, begun):
-        return None
+        line = text[max(text.rfind("\n", 0, a), text.rfind("\r", 0, a)) + 1 :][:200].splitlines()[0]
+        if re.fullmatch(r"[+\- \t\"']*[A-Za-z0-9+/=]{20,}[\s\"',;\\nr]*", line):  # part of the public block
+            return None
     if _REFERENCE.match(s) or re.fullmatch(r"[*x.X_-]+", s):
         return None
     m = re.match(r"LS0tLS1CRUdJTi[A-Za-z0-9+/]{20,}", s)
