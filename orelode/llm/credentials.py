@@ -52,7 +52,7 @@ _HARD = re.compile(r"[bcdfghjklmnpqrstvwxz]{5,}", re.I)
 _SPLIT = re.compile(r"[_+/.-]+")
 _BELOW = re.compile(r"[:=]\s*(?:[>|][-+]?|\\)\Z")
 _SIGNS = frozenset("!#$%&()*+;<=>?@^_`{|}~")
-_BEFORE, _AFTER = 160, 520
+_BEFORE, _AFTER, _LONGEST = 160, 520, 4_000
 
 
 def _patch_line(line: str) -> bool:
@@ -130,7 +130,7 @@ def windows(text: str) -> list[tuple[int, int]]:
     merged = [(*found[0], found[0] in sure)]
     for a, z in found[1:]:
         b, y, s = merged[-1]
-        if a <= y:
+        if a <= y and z - b <= _LONGEST:  # very long lines are cut into stretches that overlap
             merged[-1] = (b, max(y, z), s or (a, z) in sure)
         else:
             merged.append((a, z, (a, z) in sure))
@@ -278,13 +278,13 @@ def features(line: str, spans: list[tuple[int, int]]) -> list[list[int]]:
                     q = _chunk_kind(body[:200])
                     quoted = f"{q[0]}|{q[1]}|{'s' if any(c.isspace() for c in body) else ''}{_bucket(len(body))}"
         ca, cz, sa, sz = chunk_of[i]
-        known, plain, make = _chunk_kind(line[sa:sz][:200]) if cz else ("", "", "")
-        kc, pc, mc = _chunk_kind(line[ca:cz][:200]) if cz else ("", "", "")
+        known, plain, make = _chunk_kind(line[sa : min(sz, sa + 200)]) if cz else ("", "", "")
+        kc, pc, mc = _chunk_kind(line[ca : min(cz, ca + 200)]) if cz else ("", "", "")
         p1 = lows[solid[k - 1]] if k and not space else ("" if space else "^")
         p2 = lows[solid[k - 2]] if k > 1 and not space else ""
         n1 = lows[solid[k + 1]] if not space and k + 1 < len(solid) else "$"
         n2 = lows[solid[k + 2]] if not space and k + 2 < len(solid) else ""
-        before = line[word_end : (sa if cz else a)][:10] if word else ""
+        before = line[word_end : min(word_end + 10, sa if cz else a)] if word else ""
         gap = re.sub(r"[\w\x80-\U0010ffff]+", "w", before)[:7]
         dist = min(k - word_rank, 9)
         place = ("s" if a == ca else "") + ("b" if a == sa else "i")
@@ -392,7 +392,7 @@ def accepted(text: str, a: int, z: int) -> tuple[int, int] | None:
     s = text[a:z]
     head = _PEM_HEAD.search(text, max(0, a - 48), min(len(text), z + 80))
     if head and head.start() <= a + 3 and (a <= head.end() or _PEM_BODY.match(text, head.end(), z + 80)):
-        body = _PEM_BODY.match(text, head.end())
+        body = _PEM_BODY.match(text, head.end(), head.end() + 2_000)
         if not body:
             return None
         end = _PEM_END.search(text, head.end(), head.end() + 20_000)
@@ -424,6 +424,8 @@ def spans_in(text: str, places: list[tuple[int, int]], labelled: list[list[tuple
     for (at, _), spans in zip(places, labelled):
         for a, z in spans:
             if found and at + a < found[-1][1]:
+                if at + a == found[-1][0] and at + z > found[-1][1] and len(found[-1][2]) == 1:  # cut off where a stretch ended
+                    found[-1] = (found[-1][0], at + z, [(found[-1][0], at + z)])
                 continue
             ok = accepted(text, at + a, at + z)
             if not ok:

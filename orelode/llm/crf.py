@@ -38,8 +38,13 @@ class LinearChain:
             return out
         begins = np.concatenate([[0], ends[:-1]])
         order = np.argsort(ends - begins, kind="stable")
-        for at in range(0, len(order), 512):  # of like length, so little is padded
-            some = order[at : at + 512]
+        at = 0
+        while at < len(order):  # of like length, so little is padded; long ones in smaller numbers
+            k = 512
+            while k > 1 and (at + k > len(order) or (ends - begins)[order[at + k - 1]] * k > 200_000):
+                k = max(1, min(len(order) - at, k // 2)) if at + k <= len(order) else len(order) - at
+            some = order[at : at + k]
+            at += k
             idx = np.concatenate([np.arange(begins[s], ends[s]) for s in some])
             e, seq, pos, length = self._padded(feats[idx], np.cumsum(ends[some] - begins[some]))
             n, m = e.shape[0], e.shape[1]

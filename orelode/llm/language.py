@@ -96,7 +96,8 @@ _MACHINE = re.compile(
 )
 _PREFIX = re.compile(r"^(?:\[[^\]]{1,30}\]\s*)*(?:[a-z]+(?:\([^()]{1,40}\))?!?:\s+|[\w./-]+\([^()]{1,40}\)!?:\s+)?", re.I)
 _STOP = re.compile(r"(?<=[.…])[\"'”»)\]]*\s+(?=\S)|(?<=[!?])[\"'”»)\]]*\s+(?=[^\Wa-zß-ÿ\d_]|[\"“„«¿¡(])|(?<=[。！？])\s*(?=\S)")
-_QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|`[^`]*`|「[^」]*」|『[^』]*』|\([^()]*\)|https?://\S+|\S*[_/@\\<>={}#$%&^~]\S*|\S*\w\.\w\S*|\b\w*[a-zß-ÿ]\w*[A-Z]\w*|\b\w*\d\w*")
+_QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|`[^`]*`|「[^」]*」|『[^』]*』|\([^()]*\)")
+_CODE = re.compile(r"[_/@\\<>={}#$%&^~\d]|\w\.\w|[a-zß-ÿ][A-Z]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*['’]?")
 _CJK = re.compile(r"[぀-ヿ一-鿿ｦ-ﾟ]")
 
@@ -146,8 +147,10 @@ def sentences(text: str | None) -> list[str]:
 def words_of(sentence: str) -> list[str]:
     """The words that tell a sentence's language; none for a placeholder."""
     bare = _QUOTED.sub(" ", sentence)
+    # Without spaces between words, signs and digits stand beside words rather than in code.
+    kept = " ".join(t for t in bare.split() if _CJK.search(t[:200]) or len(t) <= 60 and not _CODE.search(t))
     words: list[str] = []
-    for w in _WORD.findall(bare):
+    for w in _WORD.findall(kept):
         if _CJK.search(w):
             words += [w[i : i + 2] for i in range(max(1, len(w) - 1))]
         else:

@@ -100,3 +100,11 @@ def test_operator(spark):
     assert got == [("documents", "1", 7), ("fx_object", "o1", 3), ("scan_report", "f", 4)]
     assert all(AWS.encode() not in r.payload and GH.encode() not in r.payload for r in C.redacted(docs, objs, reps).where("source_table <> 'x'").collect())
     assert C.credentials(docs.limit(0), objs.limit(0), reps.limit(0)).count() == 0
+
+
+def test_odd_texts_are_linear(model):
+    head = "-----BEGIN RSA PRIVATE " + "KEY-----"
+    for t in (head * 2_000, head + " \n" * 100_000, "token=" * 50_000, "'" * 100_000 + "token", "://a:b" * 20_000, "password\n" * 20_000):
+        assert isinstance(starts(t.encode(), model), list)
+    one = "".join(f'{{"user": "u{i}", "password": "{secret(random.Random(i), "T")}"}},' for i in range(300))
+    assert len(starts(one.encode(), model)) == 300  # one line, in stretches

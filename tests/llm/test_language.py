@@ -82,3 +82,8 @@ def test_operator(spark, samples):
     found = L.language_cases(L.language_segments(docs, samples))
     assert sorted(map(tuple, found.collect())) == [(1, 0, "de"), (3, 0, "fr"), (4, 0, "fr"), (4, 1, "ja")]
     assert L.language_cases(L.language_segments(docs.limit(0), samples)).count() == 0
+
+
+def test_long_words_are_linear(machines):
+    for t in ("a" * 200_000, "aB" * 100_000, "(" * 100_000, '"a ' * 50_000, "a.b" * 50_000, "A" * 100_000 + "!"):
+        assert isinstance(L.segments(t, machines), list)
