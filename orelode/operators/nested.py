@@ -60,12 +60,17 @@ def _text(value: Any) -> Any:
         if not isinstance(value, str) or value.lstrip("\ufeff \t\r\n")[:1] not in ("{", "[", '"', "n"):
             return value
         try:
-            value = json.loads(value.lstrip("﻿"))
-        except ValueError:
+            value = json.loads(value.lstrip("\ufeff"))
+        except (ValueError, RecursionError):
             return value
     return value
 
 
+def _short(state: str) -> str:
+    """A state to name inside another; below the fourth level it is not told apart."""
+    return state if state.count(" of ") < 3 else "deep"
+
+
 class Automaton:
     """Bottom-up states of JSON nodes; ``classify`` is the transition function."""
 
@@ -73,21 +78,28 @@ class Automaton:
         self._memo: dict[tuple, str] = {}
 
     def classify(self, value: Any) -> str:
+        """The state of a node; ``deep`` where it nests deeper than can be followed."""
+        try:
+            return self._classify(value)
+        except RecursionError:
+            return "deep"
+
+    def _classify(self, value: Any) -> str:
         if isinstance(value, dict):
             shape = ("object", frozenset(map(norm, value)))
             state = self._memo.get(shape)
             if state is None:
                 state = self._memo[shape] = self._object(shape[1])
             if state == "object" and value:
-                kinds = {self.classify(x) for x in value.values() if x is not None}
-                return f"map of {kinds.pop()}" if len(kinds) == 1 else state
+                kinds = {self._classify(x) for x in value.values() if x is not None}
+                return f"map of {_short(kinds.pop())}" if len(kinds) == 1 else state
             return state
         if isinstance(value, list):
-            kinds = {self.classify(x) for x in value if x is not None}
-            return f"list of {kinds.pop()}" if len(kinds) == 1 else "list of mixed" if kinds else "empty list"
+            kinds = {self._classify(x) for x in value if x is not None}
+            return f"list of {_short(kinds.pop())}" if len(kinds) == 1 else "list of mixed" if kinds else "empty list"
         if isinstance(value, str):
             inner = _text(value)
-            return "text" if isinstance(inner, str) else f"text of {self.classify(inner)}"
+            return "text" if isinstance(inner, str) else f"text of {self._classify(inner)}"
         return "null" if value is None else "scalar"
 
     @staticmethod
@@ -109,7 +121,7 @@ def report_of(body: str | None) -> dict[str, Any] | None:
     if body is None:
         return None
     try:
-        value = json.loads(body.lstrip("﻿ \t\r\n"))
+        value = json.loads(body.lstrip("\ufeff \t\r\n"))
     except (ValueError, RecursionError):
         return None
     automaton = _shared

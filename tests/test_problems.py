@@ -229,3 +229,11 @@ def test_nested(spark):
     assert flat["occurrence", 1, "f1", 1].commit_sha == "c" and flat["occurrence", 2, "f2", 0].variant == "occurrence" and flat["timeline", 2, "f2", 0].variant == "text of timeline"
     assert flat["finding", 1, "f1", 0].redacted == "x...y" and flat["timeline", 2, "f2", 0].earliest_commit == "c"
     assert nested.flat_tables(df.limit(0)).count() == 0
+
+
+def test_deep_and_long_reports():
+    deep = '{"schemaVersion": "1", "findings": [{"id": "x", "redacted": "r", "timeline": ' + '{"a":' * 600 + "1" + "}" * 600 + "}]}"
+    assert [(r["child_table"], len(r["variant"]) < 60) for r in nested.rows_of(1, deep)] == [("finding", True), ("timeline", True)]
+    assert list(nested.rows_of(1, '{"a":' * 100_000)) == [] and nested.report_of("[" * 100_000) is None
+    many = json.dumps({"schemaVersion": "1", "findings": [{"id": "x", "occurrences": [{"commitSha": "c", "path": "p"}] * 50_000}]})
+    assert sum(1 for _ in nested.rows_of(1, many)) == 50_001
