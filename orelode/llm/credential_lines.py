@@ -14,7 +14,7 @@ import random
 import re
 import string
 
-WORDS = """account agent alarm archive asset backup badge band basin batch beacon bench blade block board bond branch bucket buffer build cable cache canvas card cargo cell chain chart check client clock cloud column counter crate cursor data deck delta depot digest disk door drive event exporter feed field file filter folder footer frame gate graph grid group handle header host hub image index input item job kernel label layer ledger lens level link list loader lock log mapper market mask matrix menu merge meter mirror model module monitor mount node note object offset order output packet page panel parcel parser patch path pick pipe planner plugin point policy pool port price probe proxy pulse queue quota radar rail range reader record region relay render report reset ring route router rule runner sample scanner schema scope screen script sensor server shard shell signal site slot socket source spawn spool stack stage start stats step stock storage store stream switch sync system table tag target task ticket timer token tower trace tracker tree trigger trunk unit update value vault vector vendor view volume wait watch widget window wire worker wrap writer yield zone""".split()
+WORDS = """account agent archive asset badge band batch beacon blade block bond branch buffer build cache canvas cargo cell chart check clock cloud counter crate data deck depot digest door drive exporter feed file filter footer frame graph grid handle header hub image input item kernel label ledger lens link list lock log market mask menu merge mirror model monitor mount note object order output page panel parser patch pick pipe plugin point pool port probe proxy queue quota rail range record region render report ring route rule runner scanner schema screen script server shard signal site socket source spool stack start stats stock storage stream switch system table target task timer token trace tracker trigger trunk update value vector vendor volume wait widget window worker wrap yield zone key""".split()
 SYLLABLES = "ba dre fal gor hin jul kam ke lo lun mar mi nor nu pel quin ra ros sa se sil tal ti tur va ven vo wil za zen".split()
 
 

@@ -41,16 +41,16 @@ FAMILIES = {"japonic": ["ja"], "slavic": ["pl", "ru"], "germanic": ["de", "en",
 
 #: Function words (fixed values), which hardly depend on the topic of a text.
 FUNCTION_WORDS = {
-    "en": "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so up said what its about than into them can only other time new some could these two may first then do any like my now over such our even most after also made well must before here through back where much your way down should because long each just those how too good very make still see work last being under never same another know while us off might go again since against came right used take three",
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man dann da sein wenn ich kann gegen vom können schon wir damit denn weil sodass nachdem ohne wieder sehr jetzt hier immer diese dieser dieses keine kein alle seit ihn ihr uns euch bitte dafür deshalb habe niemand wurde waren gibt soll sollte muss lange beim ihre seine etwas nichts viel viele beiden anderen",
-    "nl": "de het een en van in is dat op te zijn met voor niet aan er om ook als dan maar bij of uit nog naar heeft hij ze wordt door over ze worden zich wel geen zo meer werd hebben kan deze tot dit die al was wat hun ik je we omdat zodat toen want waardoor zonder totdat sinds daarom alleen nu hier altijd veel andere twee eerste laatste na onder tegen tussen iets niemand moeten zou zouden kunnen mag mogen heb had waren haar hem ons onze jullie alsjeblieft goed eens weer",
-    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont la avec ou son lui nous mais on comme été si leur deux cette ces aux sans même peut fait être tout ont y était elle aussi bien entre où après avant très quand dont encore depuis car puisque afin parce alors ainsi donc jamais personne rien chaque toujours ici déjà moins autre autres trop peu leurs mes ses nos vous je tu me te ça cela celui aucun aucune il avait j'ai n'est c'est d'un d'une l'on qu'il jusqu'ici lors chez vers sous",
-    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ya este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante todos uno les ni contra otros ese eso ante ellos e esto mí antes algunos qué unos yo otro otras otra él tanto esa estos mucho quienes nada muchos cual poco ella estar estas algunas algo nosotros mi mis tú te ti así pues aunque nadie nunca ahora aquí después ha he han había hemos fue ser son está están favor ustedes",
-    "pt": "de a o que e do da em um para é com não uma os no se na por mais as dos como mas foi ao ele das tem à seu sua ou ser quando muito há nos já está eu também só pelo pela até isso ela entre era depois sem mesmo aos ter seus quem nas me esse eles estão você tinha foram essa num nem suas meu às minha têm numa pelos elas havia seja qual será nós tenho lhe deles essas esses pelas este dele pois porque ninguém nunca agora aqui então assim ainda desde antes outro outros outra não isto vamos deixei nenhum nenhuma",
-    "it": "di e il la che in un a per è una sono del da con non si le dei i al come più lo della ha ma o nel alla anche gli ci dal sul se mi questo dalla delle nella loro cui ai quando essere era stato molto ho solo tra fra poi prima dopo senza fino perché poiché così quindi però ancora già sempre mai nessuno niente ogni tutti tutto altri altro altra due suo sua suoi mia ora qui dove chi quale quanto soltanto finora dell' all' nell' sull' un' c'è degli negli alle nelle sugli hanno aveva abbiamo fatto bello",
-    "pl": "i w na z się do nie to że jest o a jak po co ale za od czy tak przez przy dla ze już tylko jego są był jej było ten może być także oraz które który która ich więc gdy aby żeby bo gdyż ponieważ odkąd dopóki dzięki bez pod nad przed między jeszcze teraz tutaj zawsze nigdy nikt nic każdy wszystko wszystkie inny inne dwa dwie trzy mnie mi go mu nas nam was ma mają miał tego tej tym temu czego czym sobie siebie nich tych jako również dlatego proszę raz bardzo",
-    "ru": "и в не на я что он с как это по к но они мы она так его за из у же от то о бы для вы когда или если уже только ещё ещё до был была были быть есть нет при чтобы потому поэтому после перед без под над между через также тоже теперь здесь там где кто какой который которая которые этот эта эти того тех все всё весь никто ничто ничего каждый другой два две три мне меня нам нас вам вас ему ей их раз очень пока ведь так как со",
-    "ja": "の に は を た が で て と し れ さ ある いる も する から な こと として い や など なっ ない この ため その あっ よう また もの という あり まで られ なる へ か だ これ によって により おり より による ず なり られる において ば なかっ なく しかし について せ だっ その後 できる それ ので なお のみ でき き つ における および いう さらに でも ら たり その他 に関する たち ます ん なら に対して です ました ません ください",
+    "en": "the of and to in that for it with not this from because no",
+    "de": "der die und in den von zu das mit für nicht ein auf ist weil damit ohne wird",
+    "nl": "de het een van in is dat op te zijn met voor niet omdat zodat zonder geen deze",
+    "fr": "la le et les des en un du une que est pour dans pas car afin depuis sans qui cette ce nous ne jamais toujours mois prochain avec sur plus au aux",
+    "es": "de la que el en y los del las por con una para no porque pues así sin hasta ya esta este lo se ha muy mes próximo  nunca siempre vez más",
+    "pt": "de que o do da em um para não uma os na por mais pois porque sem até foi as esta este isso se já muito mês próximo nunca sempre vez ao está",
+    "it": "di e il la che in un per una del non si le della ma perché poiché senza dopo che questa questo gli delle degli alla mese prossimo mai sempre ogni più lo è sono anche",
+    "pl": "i w na się do nie to że jest bo gdyż aby",
+    "ru": "и в не на что как",
+    "ja": "の は を が に で した ので",
 }
 
 #: Names under which the languages go in labels (fixed values).
@@ -270,33 +270,44 @@ def training_rows(samples: list[tuple[str, str]], seed: int = 3) -> list[tuple[s
                 rows.append((lang, bare))
     for lang, listed in FUNCTION_WORDS.items():
         words = sum((words_of(w) or [w] for w in listed.split()), [])
-        for _ in range(250):
+        for _ in range(150):
             pick = [words[int(i)] for i in rng.integers(0, len(words), int(rng.integers(3, 9)))]
             rows.append((lang, [strip_marks(w) if lang not in ("ja", "ru") else w for w in pick] if rng.random() < 0.2 else pick))
     return rows
 
 
 def labelled_sentences(rows: list[tuple[str | None, str | None]], machines: Machines) -> list[tuple[str, list[str]]]:
-    """Sentences of texts whose label the first machines bear out.
+    """Sentences whose language the labels of texts and the first machines settle between them.
 
-    A text lends its sentences to its label's language if the whole of it is
-    decided so and no sentence speaks clearly for another language.
+    A sentence seen in several texts goes with the label that most of them
+    have, whatever the machines say.  A text whose whole is decided as its
+    label says lends its other sentences too, if none speaks clearly for
+    another language.
     """
-    found = []
+    texts = []
+    seen: dict[tuple[str, ...], dict[str, int]] = {}
     for label, text in rows:
         lang = named_language(label)
-        if lang is None:
+        parts = [w for w in map(words_of, sentences(text)) if len(w) > 1] if lang else []
+        if parts:
+            texts.append((lang, parts))
+            for w in {tuple(w) for w in parts}:
+                votes = seen.setdefault(w, {})
+                votes[lang] = votes.get(lang, 0) + 1
+    settled = {}
+    for w, votes in seen.items():
+        best = max(votes, key=lambda k: (votes[k], k))
+        others = max((n for k, n in votes.items() if k != best), default=0)
+        if votes[best] >= max(3, 2 * others):
+            settled[w] = best
+    found = [(lang, list(w)) for w, lang in settled.items() for _ in range(min(5, seen[w][lang]))]
+    for lang, parts in texts:
+        rest = [w for w in parts if tuple(w) not in settled]
+        if not rest or any(settled.get(tuple(w), lang) != lang for w in parts) or machines.decide(sum(parts, []))[0] != lang:
             continue
-        parts = [w for w in map(words_of, sentences(text)) if len(w) > 1]
-        if not parts or machines.decide(sum(parts, []))[0] != lang:
-            continue
-        if any(got != lang and sure > 0.62 for got, sure in map(machines.decide, parts)):
-            continue
-        for words in parts:
-            found.append((lang, words))
-            if lang not in ("ja", "ru"):
-                found.append((lang, [strip_marks(w) for w in words]))
-    return found
+        if not any(got != lang and sure > 0.62 for got, sure in map(machines.decide, rest)):
+            found += ((lang, w) for w in rest)
+    return found + [(lang, [strip_marks(x) for x in w]) for lang, w in found if lang not in ("ja", "ru")]
 
 
 def trained(samples: DataFrame, documents: DataFrame | None = None, rows: int = SAMPLE_ROWS, sample_docs: int = SAMPLE_DOCS) -> Machines:
