@@ -337,8 +337,9 @@ def encode_lines(lines: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[tu
     return np.array(rows, np.int32).reshape(-1, FEATURES), np.array(ends, np.int64), spans
 
 
+@lru_cache(maxsize=4)
 def trained(each: int = 60, epochs: int = 5) -> LinearChain:
-    """The field, from ``each`` lines of every form."""
+    """The field, from ``each`` lines of every form; it depends on nothing else, so a process trains it once."""
     lines = labelled_lines(each)
     feats, ends, tokens = encode_lines([x for x, _ in lines])
     labels = np.zeros(len(feats), np.int64)
