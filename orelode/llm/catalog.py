@@ -27,6 +27,10 @@ def p8_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(table(spark, d, "documents"), table(spark, d, "container_class"))
 
 
+def p8_container_use(spark: SparkSession, d: str) -> DataFrame:
+    return packing.container_use(p8_packing(spark, d), table(spark, d, "container_class"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return language.language_cases(language.language_segments(table(spark, d, "documents"), table(spark, d, "lang_sample")))
 
@@ -35,7 +39,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return language.language_segments(table(spark, d, "documents"), table(spark, d, "lang_sample"))
 
 
-_QUERIES = [p4_found, p4_redacted, p7_ids, p8_packing, p9_found, p9_segments]
+_QUERIES = [p4_found, p4_redacted, p7_ids, p8_packing, p8_container_use, p9_found, p9_segments]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
