@@ -230,5 +230,5 @@ def blob_flags(blobs: DataFrame) -> DataFrame:
     """Size, whether binary, whether too large to scan."""
     head = F.hex(F.substring(F.col("payload").cast("binary"), 1, BINARY_SNIFF_BYTES))
     return blobs.select(
-        F.col("blob_id").cast("string").alias("blob_id"), F.octet_length("payload").alias("size"), head.rlike("^(..)*?00").alias("is_binary"), (F.octet_length("payload") > MAX_BLOB_SCANNED).alias("is_oversize")
+        F.col("blob_id").cast("string").alias("blob_id"), F.octet_length("payload").cast("bigint").alias("size"), head.rlike("^(..)*?00").alias("is_binary"), (F.octet_length("payload") > MAX_BLOB_SCANNED).alias("is_oversize")
     )

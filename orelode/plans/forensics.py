@@ -270,7 +270,7 @@ FROM (SELECT id, bin, a, regexp_extract_all(a, '{p.regex}') AS ms, string_split_
 SELECT *, CASE WHEN r >= 4.5 THEN 25 WHEN r >= 3.8 THEN 18 WHEN r >= 3.0 THEN 10 ELSE 0 END AS es, CASE WHEN len(words) > 0 THEN 20 ELSE 0 END AS cs,
   sha256(encode(id) || '\\x00'::BLOB || encode(CAST(off AS VARCHAR)) || '\\x00'::BLOB || encode(pattern_name)) AS digest,
   CASE WHEN pk OR contains(v, 'PRIVATE KEY') THEN '[REDACTED PRIVATE KEY]' WHEN length(v) <= 8 THEN '...' ELSE v[1:4] || '...' || v[-4:] END AS redacted
-FROM (SELECT id, pattern_name, category, base, pk, v, off, bin, CASE WHEN bin THEN 1 ELSE 1 + off - length(replace(substr(a, 1, off), chr(10), '')) END AS line,
+FROM (SELECT id, pattern_name, category, base, pk, v, off, bin, CAST(CASE WHEN bin THEN 1 ELSE 1 + off - length(replace(substr(a, 1, off), chr(10), '')) END AS INTEGER) AS line,
   list_entropy(string_split(v, '')) AS e, round(list_entropy(string_split(v, '')), 9) AS r,
   list_sort(list_distinct(list_transform(regexp_extract_all(substr(a, greatest(off - 100, 0) + 1, off + length(v) + 100 - greatest(off - 100, 0)), '(?i)(?:^|[^a-zA-Z0-9])({words})(?:$|[^a-zA-Z0-9])', 1), lambda x: lower(x)))) AS words
   FROM ({' UNION ALL '.join(parts)}))"""
@@ -314,7 +314,7 @@ _DATE = "CASE WHEN ts = 0 THEN '' ELSE strftime(make_timestamp(ts * 1000000), '%
 _EXPLAIN = " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in findings.EXPLANATIONS.items())
 
 SQL = {
-    "scan_candidates": f"SELECT id AS blob_id, pattern_name, category, off AS byte_offset, line AS line_number, length(v) AS length, sha256(v) AS fingerprint FROM ({_TEXT_C})",
+    "scan_candidates": f"SELECT id AS blob_id, pattern_name, category, off AS byte_offset, line AS line_number, CAST(length(v) AS INTEGER) AS length, sha256(v) AS fingerprint FROM ({_TEXT_C})",
     "scan_candidates_builtin": f"SELECT id AS blob_id, pattern_name, off AS byte_offset, line AS line_number, sha256(v) AS fingerprint FROM ({_TEXT_C})",
     "entropy_tiers": f"SELECT id AS blob_id, pattern_name, off AS byte_offset, round(e, 6) AS entropy, es AS entropy_score FROM ({_TEXT_C})",
     "context_keywords": f"SELECT id AS blob_id, pattern_name, off AS byte_offset, cs AS context_score, array_to_string(words, ' ') AS keywords FROM ({_TEXT_C})",
