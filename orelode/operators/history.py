@@ -93,6 +93,11 @@ def tree_paths(roots: DataFrame, entries: DataFrame, max_depth: int = MAX_TREE_D
     return every.where("kind = 'blob'").select("root", "path", F.col("node").alias("blob")), every.where("kind = 'deep'").select("root", "node", "path")
 
 
+def text(column: str) -> Column:
+    """Bytes as text; what is no UTF-8 becomes U+FFFD."""
+    return F.make_valid_utf8(F.col(column).cast("string"))
+
+
 def epoch_date(seconds: Column) -> Column:
     """RFC 3339 in UTC; empty for 0; null where no calendar date exists."""
     return F.when(seconds == 0, F.lit("")).when(seconds <= 253402300799, F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'"))

@@ -183,7 +183,7 @@ def tree_depth_gaps(spark, d):
 
 def blob_occurrences(spark, d):
     paths, _ = _tree_paths(spark, d)
-    c = table(spark, d, "fx_commit").where("tree is not null").select("commit_sha", "tree", history.person(F.col("author")).alias("author"), F.regexp_extract("author", r"(\d+)\s+[+-]\d{4}\s*$", 1).cast("bigint").alias("timestamp")).distinct()
+    c = table(spark, d, "fx_commit").where("tree is not null").select("commit_sha", "tree", history.person(F.col("author")).alias("author"), F.regexp_extract("author", r"(\d+)\s+[+-]\d{4}\s*$", 1).try_cast("bigint").alias("timestamp")).distinct()
     return history.occurrences(paths, c).withColumn("path_hex", F.hex("path")).drop("path")
 
 
@@ -343,7 +343,7 @@ SELECT tree_oid, CAST(count(*) AS INTEGER) AS n_entries, bool_and(p IS NULL OR p
     "dangling_objects": f"{_STATES} SELECT oid, type FROM stored WHERE oid NOT IN (SELECT node FROM reach)",
     "path_expansion": f"{_PATHS} SELECT root, hex(path) AS path_hex, blob FROM blobs",
     "tree_depth_gaps": f"{_PATHS} SELECT root, child AS node, hex(CASE WHEN octet_length(path) = 0 THEN name ELSE path || '/'::BLOB || name END) AS path_hex FROM w JOIN e USING (node) WHERE mode = '40000' AND list_contains(line, child)",
-    "blob_occurrences": f"""{_PATHS}, c AS (SELECT DISTINCT commit_sha, tree, regexp_extract(author, '^(.*<.*>)\\s+\\d+\\s+[+-]\\d{{4}}\\s*$', 1) AS author, CAST(regexp_extract(author, '(\\d+)\\s+[+-]\\d{{4}}\\s*$', 1) AS BIGINT) AS ts FROM fx_commit)
+    "blob_occurrences": f"""{_PATHS}, c AS (SELECT DISTINCT commit_sha, tree, regexp_extract(author, '^(.*<.*>)\\s+\\d+\\s+[+-]\\d{{4}}\\s*$', 1) AS author, TRY_CAST(regexp_extract(author, '(\\d+)\\s+[+-]\\d{{4}}\\s*$', 1) AS BIGINT) AS ts FROM fx_commit)
 SELECT blob AS blob_id, commit_sha, ts AS commit_timestamp, {_DATE} AS commit_date, author, hex(path) AS path_hex FROM blobs JOIN c ON c.tree = blobs.root""",
     "timeline": f"""{_STATES}, o AS (SELECT blob_id, {{'t': commit_timestamp, 'c': commit_sha, 'p': coalesce(path, ''), 'd': coalesce(commit_date, ''), 'a': coalesce(author, '')}} AS k FROM fx_occurrence WHERE blob_id IS NOT NULL),
 ends AS (SELECT blob_id, min(k) AS a, max(k) AS z, count(*) AS n FROM o GROUP BY 1)

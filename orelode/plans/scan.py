@@ -127,7 +127,7 @@ def run_scan(spark: SparkSession, path: str, min_confidence: str = "LOW") -> Sca
     bad_t = visited.where("kind = 't'").join(entries.where("error is not null").select(F.col("tree_oid").alias("oid"), "error"), "oid")
     wrong = seen_meta.where("(kind = 'c' and type <> 'commit') or (kind = 't' and type <> 'tree')")
     in_tree = full.join(visited.where("kind = 't'").select(F.col("oid").alias("tree_oid")), "tree_oid")
-    name = F.concat(F.col("tree_oid"), F.lit(":"), F.decode("name", "UTF-8"))
+    name = F.concat(F.col("tree_oid"), F.lit(":"), history.text("name"))
     missing_blob = in_tree.where(as_blob & ~F.col("there"))
     missing_odd = in_tree.where(F.col("unknown_mode") & F.col("child_type").isNull())
     found = [
@@ -151,7 +151,7 @@ def run_scan(spark: SparkSession, path: str, min_confidence: str = "LOW") -> Sca
     # Histories: each root tree is expanded once.
     known = good.join(visited.where("kind = 'c'").select("oid"), "oid").select(F.col("oid").alias("commit_sha"), "tree", "author", "timestamp")
     paths, deep = history.tree_paths(known.select(F.col("tree").alias("node")).distinct(), e.select(F.col("tree_oid").alias("node"), F.col("child_oid").alias("child"), "name", "mode", F.lit("").alias("part"), F.lit(0).alias("pos")))
-    occurrences = materialize(history.occurrences(paths, known).withColumn("path", F.decode("path", "UTF-8")), "occurrences")
+    occurrences = materialize(history.occurrences(paths, known).withColumn("path", history.text("path")), "occurrences")
     deep_note = F.format_string("tree %s exceeds maximum history traversal depth of 1000", "node")
     found.append(_note(deep, "RECURSION_DEPTH_EXCEEDED", F.col("node"), deep_note))
     if visited.count() > MAX_TOTAL_OBJECTS:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -37,6 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="orelode-")
+        atexit.register(shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 

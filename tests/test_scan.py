@@ -51,6 +51,8 @@ def test_paths_missing_and_malformed(spark, tmp_path):
     b = s.blob(f"x {AWS}\n")
     under_bad = s.blob(f"y {GITHUB}\n")
     odd = s.tree(("100644", "..", b), ("100664", "odd", b), ("100644", "gone", "1" * 40), ("160000", "sub", "2" * 40))
+    raw = s.blob(f"z {SLACK}\n")
+    s.ref("refs/heads/raw", s.commit(s.put("tree", b"100644 \xff\xfe.txt\0" + bytes.fromhex(raw))))
     good = s.commit(s.tree(("40000", "dir", odd)))
     bad = s.commit(s.tree(("100644", "f", under_bad)), at="NOT_A_TIMESTAMP")
     s.ref("refs/heads/main", good)
@@ -62,6 +64,7 @@ def test_paths_missing_and_malformed(spark, tmp_path):
     by = {f["blobId"]: f for f in r["findings"]}
     assert by[b]["exposureState"] == "ACTIVE" and [o["path"] for o in by[b]["occurrences"]] == ["dir/.."]
     assert by[under_bad]["exposureState"] == "ZOMBIE" and by[under_bad]["timeline"] is None
+    assert [o["path"] for o in by[raw]["occurrences"]] == ["\ufffd\ufffd.txt"]
     kinds = {a["Type"] for a in r["structuralAnomalies"]}
     assert {"UNSAFE_TREE_NAME", "UNKNOWN_TREE_MODE", "MISSING_REFERENCED_OBJECT", "MALFORMED_COMMIT", "CORRUPTED_LOOSE_OBJECT"} <= kinds
     assert {g["target"] for g in r["coverageGaps"] if g["type"] == "unresolvedPackOnly"} == {"1" * 40, "3" * 40}
