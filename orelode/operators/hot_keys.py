@@ -71,7 +71,8 @@ def occurrence_profile(occurrences: DataFrame, commits: DataFrame) -> DataFrame:
 
     Columns: key_kind, key_value, n_occurrences, n_commit_rows, n_joined (the
     size of the join with ``commits``, of commits only) and n_total (all
-    distinct rows, those with null keys included).
+    distinct rows, those with null keys included).  The compact states of both
+    sides are joined in full: a commit without occurrences has a row, too.
     """
     rows = distinct_keyed(occurrences, ["blob_id", "commit_sha"])
     counts = key_counts(rows, {"blob": "blob_id", "commit": "commit_sha"})
@@ -80,22 +81,22 @@ def occurrence_profile(occurrences: DataFrame, commits: DataFrame) -> DataFrame:
     total = counts.where("key_kind = 'blob'").agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_total"))
     return (
         counts.where("key_value is not null")
-        .join(of_commits, ["key_kind", "key_value"], "left")
+        .join(of_commits, ["key_kind", "key_value"], "full")
         .crossJoin(F.broadcast(total))  # one row
         .select(
             "key_kind",
             "key_value",
-            F.col("n_rows").alias("n_occurrences"),
+            F.coalesce("n_rows", F.lit(0)).alias("n_occurrences"),
             F.coalesce("n_commit_rows", F.lit(0)).alias("n_commit_rows"),
-            (F.col("n_rows") * F.coalesce("n_commit_rows", F.lit(0))).alias("n_joined"),
+            (F.coalesce("n_rows", F.lit(0)) * F.coalesce("n_commit_rows", F.lit(0))).alias("n_joined"),
             "n_total",
         )
     )
 
 
 def hot_keys(profile: DataFrame, percent: int = 1) -> DataFrame:
-    """Keys with at least ``percent`` % of all rows."""
-    return profile.where(F.col("n_occurrences") * 100 >= F.col("n_total") * percent).select("key_kind", "key_value")
+    """Keys with at least ``percent`` % of all rows; none of no rows."""
+    return profile.where((F.col("n_occurrences") * 100 >= F.col("n_total") * percent) & (F.col("n_total") > 0)).select("key_kind", "key_value")
 
 
 def occurrence_lists(occurrences: DataFrame, key: str, shard_rows: int = 10_000) -> DataFrame:

@@ -146,9 +146,9 @@ SELECT key_kind, key_value FROM k WHERE key_value IS NOT NULL GROUP BY ALL HAVIN
     "p1_key_counts": f"""
 WITH o AS {_OCC}, k AS (SELECT 'blob' AS key_kind, blob_id AS key_value FROM o UNION ALL SELECT 'commit', commit_sha FROM o),
 n AS (SELECT key_kind, key_value, count(*) AS n_occurrences FROM k WHERE key_value IS NOT NULL GROUP BY ALL),
-c AS (SELECT commit_sha, count(*) AS m FROM fx_commit GROUP BY 1)
-SELECT key_kind, key_value, n_occurrences, coalesce(m, 0) AS n_commit_rows, n_occurrences * coalesce(m, 0) AS n_joined
-FROM n LEFT JOIN c ON key_kind = 'commit' AND key_value = commit_sha""",
+c AS (SELECT 'commit' AS key_kind, commit_sha AS key_value, count(*) AS m FROM fx_commit WHERE commit_sha IS NOT NULL GROUP BY 2)
+SELECT key_kind, key_value, coalesce(n_occurrences, 0) AS n_occurrences, coalesce(m, 0) AS n_commit_rows, coalesce(n_occurrences, 0) * coalesce(m, 0) AS n_joined
+FROM n FULL JOIN c USING (key_kind, key_value)""",
     "p1_blob_repo_counts": """
 SELECT blob_id, repo_id, count(*) AS n_joined, CAST(sum(commit_timestamp) AS BIGINT) AS sum_timestamp
 FROM fx_occurrence JOIN fx_commit USING (commit_sha) GROUP BY ALL""",

@@ -27,13 +27,14 @@ def test_hot_keys(spark):
     data = [("hot", f"c{i % 40}", 1, None, "a", f"p{i}", DAY) for i in range(120)] + [(None, "c0", 1, None, None, None, DAY)] * 2 + [("once", None, 0, "", "a", "p", DAY)] * 3
     data += [("", "c1", 1, None, "a", "p", DAY), (None, "c1", 1, None, "a", "p", DAY)]
     o = spark.createDataFrame(data, OCC).withColumn("n_rows", F.lit(1))  # a clashing name
-    c = spark.createDataFrame([("r", f"c{i}", "t", None, "a", "b", "m", DAY) for i in range(5)] * 2, COMMIT)
+    c = spark.createDataFrame([("r", f"c{i}", "t", None, "a", "b", "m", DAY) for i in (0, 1, 2, 3, 4, 99)] * 2, COMMIT)
     prof = {(r.key_kind, r.key_value): r for r in hot_keys.occurrence_profile(o, c).collect()}
     total = len(set(data))
     assert {r.n_total for r in prof.values()} == {total}
     want = Counter(("blob", x[0]) for x in set(data) if x[0] is not None) + Counter(("commit", x[1]) for x in set(data) if x[1] is not None)
-    assert {k: r.n_occurrences for k, r in prof.items()} == want
+    assert {k: r.n_occurrences for k, r in prof.items() if r.n_occurrences} == want
     assert prof["commit", "c1"].n_joined == 2 * want["commit", "c1"] and prof["commit", "c9"].n_joined == 0
+    assert (prof["commit", "c99"].n_occurrences, prof["commit", "c99"].n_commit_rows) == (0, 2)
     found = rows(hot_keys.hot_keys(hot_keys.occurrence_profile(o, c)))
     assert found == sorted((k for k, n in want.items() if n * 100 >= total), key=str)
     assert hot_keys.hot_keys(hot_keys.occurrence_profile(o.limit(0), c)).count() == 0
