@@ -8,7 +8,9 @@ characters that are redacted.  The field is trained here, on lines drawn from
 Bytes are seen as one character each, so positions are byte offsets whatever
 the encoding; UTF-16 is told by its mark or its zero bytes and counted in twos.
 Windows of whole lines around words and prefixes that credentials come with are
-labelled (all of a text's windows, lines of any length); an exact check then
+labelled (all of a text's windows, lines of any length); where a prefix is cut
+over adjacent quoted pieces, the pieces are joined before and told apart again
+afterwards, so that the field sees the prefix whole.  An exact check then
 drops spans that are placeholders or references, heads of keys without key
 material, and digests.
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -52,6 +55,7 @@ _HARD = re.compile(r"[bcdfghjklmnpqrstvwxz]{5,}", re.I)
 _SPLIT = re.compile(r"[_+/.-]+")
 _BELOW = re.compile(r"[:=]\s*(?:[>|][-+]?|\\)\Z")
 _SIGNS = frozenset("!#$%&()*+;<=>?@^_`{|}~")
+_JOINT = re.compile(r"[\"'][\s,+.&|()\[\]\\-]{0,200}[\"']")
 _BEFORE, _AFTER, _LONGEST = 160, 520, 4_000
 
 
@@ -84,6 +88,49 @@ def _worth(line: str) -> bool:
     return any(not _plain(m) for m in _RUN.findall(line))
 
 
+def cut_joints(text: str) -> list[tuple[int, int]]:
+    """What stands between adjacent quoted pieces where one of ``PREFIXES`` is whole only once they are joined, in order."""
+    joints, starts, parts, at, size = [], [], [], 0, 0
+    for m in _JOINT.finditer(text):
+        joints.append(m.span())
+        parts.append(text[at : m.start()])
+        size += len(parts[-1])
+        starts.append(size)  # of the piece after it, in the joined text
+        at = m.end()
+    if not joints:
+        return []
+    joined = "".join([*parts, text[at:]])
+    cut: set[int] = set()
+    for t in PREFIXES:
+        i = joined.find(t)
+        while i >= 0:
+            cut.update(range(bisect_right(starts, i), bisect_left(starts, i + len(t))))
+            i = joined.find(t, i + len(t))
+    return [joints[k] for k in sorted(cut)]
+
+
+def without(text: str, joints: list[tuple[int, int]]) -> str:
+    ends = [0, *(z for _, z in joints)]
+    return "".join(text[e:a] for e, a in zip(ends, [*(a for a, _ in joints), len(text)]))
+
+
+def rejoined(found: list[tuple[int, int, list[tuple[int, int]]]], joints: list[tuple[int, int]]) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """Places in the text without ``joints`` as places in the whole text; a piece that held joints is several."""
+    at, gone = [], [0]  # where each was taken out, and characters taken out so far
+    for a, z in joints:
+        at.append(a - gone[-1])
+        gone.append(gone[-1] + z - a)
+    out = []
+    for _, _, pieces in found:
+        whole = []
+        for a, z in pieces:
+            i, j = bisect_right(at, a), bisect_left(at, z)
+            edges = [a, *sorted(set(at[i:j])), z]
+            whole += [(x + gone[bisect_right(at, x)], y + gone[bisect_left(at, y)]) for x, y in zip(edges, edges[1:])]
+        out.append((whole[0][0], whole[-1][1], whole))
+    return out
+
+
 def windows(text: str) -> list[tuple[int, int]]:
     """Stretches of ``text`` that may hold credentials, in order, without overlap."""
     flat = text.replace("\r", "\n")
@@ -464,18 +511,23 @@ def offset(text: str, i: int, lead: int, width: int, codec: str) -> int:
 def find_all(payloads: list[bytes | None], model: LinearChain) -> list[list[tuple[int, int, list[tuple[int, int]]]]]:
     """(first byte, end byte, pieces) of each credential of each payload."""
     views = [view(p) if p else None for p in payloads]
-    places = [windows(v[0]) if v else [] for v in views]
-    lines = [v[0][a:z] for v, w in zip(views, places) if v for a, z in w]
+    joints = [cut_joints(v[0]) if v else [] for v in views]
+    texts = [without(v[0], j) if j else v[0] if v else "" for v, j in zip(views, joints)]
+    places = [windows(t) for t in texts]
+    lines = [t[a:z] for t, w in zip(texts, places) for a, z in w]
     labelled = label_lines(lines, model) if lines else []
     out, at = [], 0
-    for v, w in zip(views, places):
+    for v, t, cut, w in zip(views, texts, joints, places):
         if not v or not w:
             out.append([])
             continue
         mine, at = labelled[at : at + len(w)], at + len(w)
         text, lead, width, codec = v
         b = lambda i: offset(text, i, lead, width, codec)  # noqa: E731, B023
-        out.append([(b(a), b(z), [(b(x), b(y)) for x, y in pieces]) for a, z, pieces in spans_in(text, w, mine)])
+        found = spans_in(t, w, mine)
+        if cut:  # a prefix and nothing more is no credential
+            found = [f for f in found if "".join(t[a:z] for a, z in f[2]) not in PREFIXES]
+        out.append([(b(a), b(z), [(b(x), b(y)) for x, y in pieces]) for a, z, pieces in (rejoined(found, cut) if cut else found)])
     return out
 
 

@@ -108,3 +108,21 @@ def test_odd_texts_are_linear(model):
         assert isinstance(starts(t.encode(), model), list)
     one = "".join(f'{{"user": "u{i}", "password": "{secret(random.Random(i), "T")}"}},' for i in range(300))
     assert len(starts(one.encode(), model)) == 300  # one line, in stretches
+
+
+@pytest.mark.parametrize("codec", ["utf-8", "utf-16-le"])
+def test_cut_prefix(model, codec):
+    head, rest = GH[:4], GH[4:]
+    for cuts, between in (((2,), "' + '"), ((3,), "' + '"), ((1, 2), "' + '"), ((2,), "', '"), ((2,), "' . '"), ((2,), "' '"), ((1, 2, 3), "' +\n+        '"), ((2, 12), "' + '"), ((2,), "' + '' + '")):
+        edges = [0, *cuts, len(GH)]
+        pieces = [GH[a:z] for a, z in zip(edges, edges[1:])]
+        text = f"é\n+index77 = '{between.join(pieces)}'\n+rest"
+        payload = text.encode(codec)
+        found = C.find_all([payload], model)[0]
+        assert [a for a, _, _ in found] == [len(text[: text.index("'") + 1].encode(codec))], text
+        assert C.redact(payload, found).decode(codec) == f"é\n+index77 = '{between.join(['[REDACTED]'] * len(pieces))}'\n+rest"
+    aws = f'index77 = "{AWS[:2]}" + "{AWS[2:]}"'.encode()
+    assert starts(aws, model) == [aws.index(b"AK")]
+    assert C.cut_joints(f"a = '{head}' + '{rest}'; b = ['x', 'y']") == []  # whole: as before
+    for text in ("x = 'gh' + 'u_' + name", "x = ['e', 'y', 'J']", "'gh' + 'p_'"):
+        assert starts(text.encode(), model) == []
