@@ -11,7 +11,7 @@ Windows of whole lines around words and prefixes that credentials come with are
 labelled (all of a text's windows, lines of any length); where a prefix is cut
 over adjacent quoted pieces, the pieces are joined before and told apart again
 afterwards, so that the field sees the prefix whole.  An exact check then
-drops spans that are placeholders or references, heads of keys without key
+extends private keys over all their lines, and drops spans that are placeholders or references, heads of keys without key
 material, and digests.
 
 Defined results: null and empty payloads have no rows; repeated deliveries give
@@ -426,11 +426,47 @@ _PEM_HEAD = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PUBLIC_HEAD = re.compile(r"-----BEGIN [A-Z0-9 ]+-----(?:\\r|\\n|\s)")
 _PEM_BODY = re.compile(r"(?:\\r|\\n|[\s+\->|\"'#*\\]|//)*(?:[A-Za-z-]+: [^\n]*\n)*(?:\\r|\\n|[\s+\->|\"'#*])*[A-Za-z0-9+/=]{16,}")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: Between two lines of key material, real or escaped; and what may follow one up to the end of its line.
+_PEM_GAP = re.compile(r"(?:\\[rn]|[\s+\->|\"'#*\\,;]|//)+")
+_PEM_REST = re.compile(r"[ \t\"',;)\\+]*(?:[\r\n]|\\[rn]|-----END|\Z)")
+_PEM_RUN = re.compile(r"[A-Za-z0-9+/=]+")
 _REFERENCE = re.compile(r"[<{\[(]|\$[{(A-Za-z_]|%[({]|![a-z]+(?:-[a-z]+)*\Z|\*{3,}|x{4,}|X{4,}|\.{3}|your|change.?me|example|placeholder|redacted|hidden|dummy|none\Z|null\Z|true\Z|false\Z|os\.|process\.|env\b|getenv|vault", re.I)
 _GLUE = re.compile(r"[\"'\s,+.&|()\[\]-]{1,12}\Z")
 _TRIM = " \t\r\n\"'`,;"
 
 
+def material_end(text: str, z: int, stop: int) -> int:
+    """Where the lines of key material that go on at ``z`` end, or the END line that follows them."""
+    if run := _PEM_RUN.match(text, z, stop):
+        z = run.end()
+
+    def ended() -> int | None:
+        at = text.find("-----END", z, gap.end() + 8) if gap else -1
+        end = _PEM_END.match(text, at) if at >= 0 else None
+        return end.end() if end else None
+
+    while gap := _PEM_GAP.match(text, z, stop):
+        if e := ended():
+            return e
+        run = _PEM_RUN.match(text, gap.end(), stop)
+        if not run:
+            break
+        s, g = run.group(), gap.group()
+        whole = _PEM_REST.match(text, run.end())
+        if len(s) < 16:  # the last, if any
+            if whole and re.search(r"[\r\n]|\\[rn]", g) and (s[0] == "=" or s[-1] == "=" or len(s) > 3 and not _plain(s)):
+                z = run.end()
+                gap = _PEM_GAP.match(text, z, stop)
+                return ended() or z
+            break
+        if _plain(s) or _HEX.match(s) or len(s) < 40 and not (whole and re.search(r"[\r\n]|\\[rn]|[\"'].*[\"']", g)):
+            break
+        z = run.end()
+        if not whole:
+            break
+    return z
+
+
 def accepted(text: str, a: int, z: int) -> tuple[int, int] | None:
     """The exact span of a credential the field found, or None."""
     while a < z and text[a] in _TRIM:
@@ -443,8 +479,11 @@ def accepted(text: str, a: int, z: int) -> tuple[int, int] | None:
         body = _PEM_BODY.match(text, head.end(), head.end() + 2_000)
         if not body:
             return None
-        end = _PEM_END.search(text, head.end(), head.end() + 20_000)
-        return head.start(), end.end() if end else body.end()
+        stop = text.find("-----BEGIN", head.end())
+        stop = stop if stop >= 0 else len(text)
+        z = material_end(text, body.end(), stop)  # as far as it goes
+        end = _PEM_END.search(text, head.end(), min(stop, head.end() + 20_000))  # beyond what is no material, near by
+        return head.start(), max(z, end.end()) if end else z
     if len(s) < 4 or "-----" in s:
         return None
     begun = text.rfind("-----BEGIN ", max(0, a - 6_000), a)

@@ -126,3 +126,25 @@ def test_cut_prefix(model, codec):
     assert C.cut_joints(f"a = '{head}' + '{rest}'; b = ['x', 'y']") == []  # whole: as before
     for text in ("x = 'gh' + 'u_' + name", "x = ['e', 'y', 'J']", "'gh' + 'p_'"):
         assert starts(text.encode(), model) == []
+
+
+def test_keys_without_end(model):
+    r = random.Random(8)
+    line = lambda n=64: "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n))
+    head, end = "-----BEGIN RSA PRIVATE " + "KEY-----", "-----END RSA PRIVATE " + "KEY-----"
+    for sign, tail in (("", "w8k="), ("+", "aB3+x9Q="), ("-", "XYZ3FLk7i/z21b7yM="), ("# ", line(31))):
+        body = [line() for _ in range(40)]
+        key = ("\n" + sign).join([head, *body, tail])
+        text = f"{sign}a = 1\n{sign}{key}\n     for _, bucket := range record58 {{\n queueTicket\n"
+        assert C.redact(text.encode(), C.find_all([text.encode()], model)[0]).decode() == text.replace(key, "[REDACTED]")
+    body = [line() for _ in range(12)]
+    for glue, rest in (("\\n", '\\n", "id": "x"}'), ('\\n" +\n    "', '\\n";\nvar x = 1;')):
+        key = glue.join([head, *body])
+        text = f'{{"private_key": "{key}{rest}'
+        assert C.redact(text.encode(), C.find_all([text.encode()], model)[0]).decode() == text.replace(key, "[REDACTED]")
+    long = "\n".join([head, *(line() for _ in range(600)), "ab1=", end])
+    text = f"x\n{long}\ny = 2\n"
+    assert C.redact(text.encode(), C.find_all([text.encode()], model)[0]).decode() == "x\n[REDACTED]\ny = 2\n"
+    cut = "\n".join([head, line(), line()])
+    text = f"{cut}\n\npassword = 'g7Kq!2vRz0pW'\n{KEY}\nrest"  # a key's END is not another's
+    assert C.redact(text.encode(), C.find_all([text.encode()], model)[0]).decode() == "[REDACTED]\n\npassword = '[REDACTED]'\n[REDACTED]\nrest"
