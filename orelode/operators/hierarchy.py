@@ -263,6 +263,161 @@ def descendant_counts(paths: DataFrame) -> DataFrame:
     return above.groupBy("node").agg((F.count(F.lit(1)) - 1).alias("n_descendants"))
 
 
+# ------------------------------------------------------------ descendants
+
+
+def _finish_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    links: dict[str, str | None] = {}
+    for b in batches:
+        links.update(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+    size: dict[str, int] = defaultdict(int)
+    found = list(resolve(links))
+    for _, head, *_ in found:
+        size[head] += 1
+    yield from _batches(((n, head, size[head]) for n, head, *_ in found), ["node", "head", "circle"], [pa.string(), pa.string(), pa.int32()])
+
+
+def ring_heads(rings: DataFrame, tag: str) -> DataFrame:
+    """``(node, head, circle)`` of ``rings(node, parent)``, the nodes on circles: its circle's smallest node and length."""
+    m = rings.count()
+    if m <= FINISH_ROWS:
+        return materialize(rings.coalesce(1).mapInArrow(_finish_heads, "node string, head string, circle int"), f"{tag}-heads")
+    # The smallest of the 2**k nodes from each on; pointers double until that is all of them.
+    step, k = rings.select("node", F.col("parent").alias("to"), F.least("node", "parent").alias("head")), 0
+    while 2**k < m:
+        on = step.select(F.col("node").alias("to"), F.col("to").alias("on"), F.col("head").alias("other"))
+        step = materialize(step.join(on, "to").select("node", F.col("on").alias("to"), F.least("head", "other").alias("head")), f"{tag}-heads")
+        k += 1
+    return step.select("node", "head").join(step.groupBy("head").agg(F.count(F.lit(1)).cast("int").alias("circle")), "head").select("node", "head", "circle")
+
+
+def _finish_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(top, over, own) of pieces to (top, total), with all pieces that hang below."""
+    over: dict[str, str | None] = {}
+    total: dict[str, int] = {}
+    for b in batches:
+        for t, o, n in zip(*(b.column(i).to_pylist() for i in range(3))):
+            over[t], total[t] = o, n
+    waits: dict[str, int] = defaultdict(int)
+    for o in over.values():
+        if o is not None:
+            waits[o] += 1
+    ready = [t for t in over if not waits[t]]
+    while ready:
+        t = ready.pop()
+        if (o := over[t]) is not None:
+            total[o] += total[t]
+            waits[o] -= 1
+            if not waits[o]:
+                ready.append(o)
+    yield from _batches(total.items(), ["top", "total"], [pa.string(), pa.int64()])
+
+
+def _totals(pieces: DataFrame, tag: str) -> DataFrame:
+    """``(top, total)`` of ``pieces(top, over, own)``."""
+    if pieces.count() <= FINISH_ROWS:
+        return materialize(pieces.coalesce(1).mapInArrow(_finish_totals, "top string, total bigint"), f"{tag}-totals")
+    links = materialize(pieces.where("over is not null").select(F.col("top").alias("node"), F.col("over").alias("target"), F.lit(1).alias("weight")), f"{tag}-over")
+    level = _merge_links(links, links.count(), f"{tag}-level").select(F.col("node").alias("top"), F.col("dist").alias("level"))
+    pieces = materialize(pieces.join(level, "top", "left").withColumn("level", F.coalesce("level", F.lit(0))), f"{tag}-levels")
+    done, below = [], None
+    for k in range(pieces.agg(F.max("level")).first()[0], -1, -1):  # from the lowest up
+        here = pieces.where(F.col("level") == k)
+        if below is not None:
+            more = below.where("over is not null").groupBy(F.col("over").alias("top")).agg(F.sum("total").alias("more"))
+            here = here.join(more, "top", "left").withColumn("own", F.col("own") + F.coalesce("more", F.lit(0)))
+        below = materialize(here.select("top", "over", F.col("own").alias("total")), f"{tag}-total")
+        done.append(below.select("top", "total"))
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+_INSIDE = "node string, top string, hung boolean, enter bigint, size bigint, depth int"
+
+
+def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Preorder within each piece: rows (top, node, parent, total); a row with a total is a piece hung below ``parent``."""
+    down: dict[str, list[tuple[str, int | None]]] = defaultdict(list)
+    tops: dict[str, str] = {}
+    for b in batches:
+        for top, node, parent, total in zip(*(b.column(i).to_pylist() for i in range(4))):
+            if parent is None:
+                tops[node] = top
+            else:
+                down[parent].append((node, total))
+
+    def rows():
+        for top in tops:
+            at, line, open_ = 1, [], [(top, 0, 1, iter(sorted(down.get(top, ()))))]
+            while open_:
+                node, depth, enter, rest = open_[-1]
+                for child, total in rest:
+                    at += 1
+                    if total is not None:
+                        line.append((child, top, True, at, total, depth + 1))
+                        at += total - 1
+                    else:
+                        open_.append((child, depth + 1, at, iter(sorted(down.get(child, ())))))
+                        break
+                else:
+                    open_.pop()
+                    line.append((node, top, False, enter, at - enter + 1, depth))
+            yield from line
+
+    yield from _batches(rows(), ["node", "top", "hung", "enter", "size", "depth"], [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int32()])
+
+
+def descendant_index(nodes: DataFrame, tag: str = "index") -> DataFrame:
+    """``(node, root, depth, enter, leave, circle)``: the descendants of every node as intervals, one row per node.
+
+    Nodes are numbered from 1 within their root, each before those below it.
+    The descendants of a node are the rows of its root with ``enter`` in
+    (its own enter, its leave], at distance of the difference of depths.  A
+    circle is cut above its smallest node, which is the root of all that lies on
+    the circle or leads into it; ``circle`` is its length for the nodes on it,
+    else null.  From such a node every node of the root is reached, itself too:
+    those outside its interval at the difference of depths plus ``circle``.
+    :func:`descendant_pairs` writes this out.  ``nodes`` as in :func:`forest`.
+
+    A chunk numbers its own pieces; sizes of pieces are summed upwards and
+    places downwards over the contracted links, as in :func:`forest`.
+    """
+    nodes = materialize(nodes.select("node", "parent", "part", "pos"), f"{tag}-nodes")
+    on = forest(nodes, f"{tag}-forest").where("root = ''").select("node")
+    heads = ring_heads(materialize(nodes.join(on, "node", "left_semi").select("node", "parent"), f"{tag}-on"), tag)
+    cut = F.when(F.col("head") == F.col("node"), F.lit(None)).otherwise(F.col("parent"))
+    nodes = materialize(nodes.join(heads, "node", "left").select("node", cut.alias("parent"), "part", "pos", "circle"), f"{tag}-cut")
+    p = _chunks(nodes.sparkSession, nodes.count())
+    local = materialize(nodes.repartitionByRange(p, "part", "pos", "node").select("node", "parent").mapInArrow(_local_forest, _LOCAL), f"{tag}-local")
+    at = local.select(F.col("node").alias("ext"), F.col("root").alias("over"))
+    pieces = local.where("node = root").select(F.col("node").alias("top"), "ext").join(at, "ext", "left")
+    pieces = materialize(pieces.join(local.groupBy(F.col("root").alias("top")).agg(F.count(F.lit(1)).alias("own")), "top").select("top", "ext", "over", "own"), f"{tag}-pieces")
+    hung = pieces.where("over is not null").join(_totals(pieces.select("top", "over", "own"), tag), "top")
+    rows = local.join(nodes.select("node", "parent"), "node").select(
+        F.col("root").alias("top"), "node", F.when(F.col("node") == F.col("root"), F.lit(None)).otherwise(F.col("parent")).alias("parent"), F.lit(None).cast("bigint").alias("total")
+    )
+    rows = rows.unionByName(hung.select(F.col("over").alias("top"), F.col("top").alias("node"), F.col("ext").alias("parent"), "total"))
+    inside = materialize(rows.repartition(p, "top").mapInArrow(_intervals, _INSIDE), f"{tag}-inside")
+    base = None
+    for what, weight in (("enter", F.col("enter") - 1), ("depth", F.col("depth"))):
+        links = materialize(inside.where("hung").select("node", F.col("top").alias("target"), weight.cast("int").alias("weight")), f"{tag}-{what}")
+        one = _merge_links(links, links.count(), f"{tag}-{what}").select(F.col("node").alias("top"), F.col("root").alias(f"{what}_root"), F.col("dist").alias(f"{what}_base"))
+        base = one if base is None else base.join(one, "top")
+    enter = F.col("enter") + F.coalesce("enter_base", F.lit(0))
+    out = inside.where("not hung").join(base, "top", "left").join(nodes.select("node", "circle"), "node")
+    return out.select("node", F.coalesce("enter_root", "top").alias("root"), (F.col("depth") + F.coalesce("depth_base", F.lit(0))).cast("int").alias("depth"), enter.alias("enter"), (enter + F.col("size") - 1).alias("leave"), "circle")
+
+
+def descendant_pairs(index: DataFrame) -> DataFrame:
+    """``(node, descendant, distance)`` of what :func:`descendant_index` gave; as many rows as there are pairs."""
+    b = index.select("root", F.col("node").alias("descendant"), F.col("enter").alias("at"), F.col("depth").alias("deep"))
+    inside = F.col("at").between(F.col("enter") + 1, F.col("leave"))
+    far = F.col("deep") - F.col("depth") + F.when(inside, F.lit(0)).otherwise(F.col("circle"))
+    return index.join(b, "root").where(inside | F.col("circle").isNotNull()).select("node", "descendant", far.alias("distance"))
+
+
 def placement(nodes: DataFrame, links: DataFrame, tag: str) -> DataFrame:
     """``(node, chunk)``: where each node lies, so that few paths leave a chunk.
 
@@ -501,16 +656,37 @@ def commit_forest(commits: DataFrame) -> DataFrame:
     return forest(commit_nodes(commits), "commit")
 
 
-def tree_walk(entries: DataFrame, commits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(root, node, depth) of trees below the trees of commits, and tree nodes on circles."""
+def tree_graph(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Trees and the links between them."""
     entries = entries.where("tree_oid is not null")
     nodes = entries.groupBy(F.col("tree_oid").alias("node")).agg(F.min("repo_id").alias("part"), F.min("observed_at").alias("pos"))
     # Links to what is no node fall out when links are placed.
     links = entries.where("mode = '40000' and child_oid is not null").select(F.col("tree_oid").alias("parent"), F.col("child_oid").alias("child")).distinct()
+    return nodes, links
+
+
+def tree_walk(entries: DataFrame, commits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(root, node, depth) of trees below the trees of commits, and tree nodes on circles."""
+    nodes, links = tree_graph(entries)
     roots = commits.where("tree is not null").select(F.col("tree").alias("node")).distinct()
     return walk_graph(nodes, links, roots, "tree")
 
 
+def tree_descendants(entries: DataFrame) -> DataFrame:
+    """``(node, descendant, distance)`` of every tree: each tree below it once, at its least distance.
+
+    A tree on a circle is its own descendant, at the length of its shortest
+    circle.  Trees are shared, so no intervals; their depth bounds the pairs.
+    """
+    nodes, links = tree_graph(entries)
+    states, rings = walk_graph(nodes, links, nodes.select("node"), "tree-below")
+    least = materialize(states.groupBy(F.col("root").alias("node"), F.col("node").alias("descendant")).agg(F.min("depth").alias("distance")), "tree-below-least")
+    # Paths do not come back to where they began; the last link of a circle is put on here.
+    closing = links.join(rings.select(F.col("node").alias("child")), "child").select(F.col("child").alias("node"), F.col("parent").alias("descendant"))
+    back = least.join(closing, ["node", "descendant"]).groupBy("node").agg((F.min("distance") + 1).alias("distance"))
+    return least.where("distance > 0").unionByName(back.select("node", F.col("node").alias("descendant"), "distance"))
+
+
 def hierarchies(commits: DataFrame, entries: DataFrame) -> DataFrame:
     """``(hierarchy, node, root, depth)`` of both hierarchies, circles as root '' and depth -1."""
     c = commit_forest(commits).where("root is not null").select(F.lit("commit").alias("hierarchy"), "node", "root", F.col("depth").cast("int").alias("depth"))

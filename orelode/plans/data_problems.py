@@ -41,6 +41,14 @@ def p2_commit_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendant_counts(hierarchy.forest_paths(hierarchy.commit_nodes(table(spark, d, "fx_commit")), "commit-paths"))
 
 
+def p2_commit_descendant_index(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.descendant_index(hierarchy.commit_nodes(table(spark, d, "fx_commit")), "commit-index")
+
+
+def p2_tree_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.tree_descendants(table(spark, d, "fx_tree_entry"))
+
+
 def p2_tree_paths(spark: SparkSession, d: str) -> DataFrame:
     """Every tree below every root tree, at every path of names."""
     e = table(spark, d, "fx_tree_entry").where("tree_oid is not null and name is not null")
@@ -77,7 +85,7 @@ def p6_flat_tables(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_key_counts, p1_blob_repo_counts, p1_occurrence_lists, p2_found, p2_commit_paths, p2_commit_descendants, p2_tree_paths, p3_found, p3_report, p5_found, p5_change_values, p6_found, p6_flat_tables)
+    for f in (p1_found, p1_key_counts, p1_blob_repo_counts, p1_occurrence_lists, p2_found, p2_commit_paths, p2_commit_descendants, p2_commit_descendant_index, p2_tree_descendants, p2_tree_paths, p3_found, p3_report, p5_found, p5_change_values, p6_found, p6_flat_tables)
 }
 
 _OCC = "(SELECT DISTINCT * FROM fx_occurrence)"
@@ -118,6 +126,11 @@ w(root, node, path, line) AS (
 SQL = {
     "p2_commit_paths": _UP + " SELECT node, path[1] AS root, CAST(len(path) - 1 AS INTEGER) AS depth, array_to_string(path, '/') AS path FROM w",
     "p2_commit_descendants": _UP + " SELECT node, count(*) - 1 AS n_descendants FROM (SELECT unnest(path) AS node FROM w) GROUP BY node",
+    "p2_tree_descendants": """
+WITH RECURSIVE n AS MATERIALIZED (SELECT DISTINCT tree_oid AS node FROM fx_tree_entry WHERE tree_oid IS NOT NULL),
+e AS MATERIALIZED (SELECT DISTINCT tree_oid AS a, child_oid AS z FROM fx_tree_entry WHERE mode = '40000' AND tree_oid IS NOT NULL AND child_oid IN (SELECT node FROM n)),
+t(node, descendant, line) AS (SELECT a, z, [z] FROM e UNION ALL SELECT node, z, list_append(line, z) FROM t JOIN e ON a = descendant WHERE NOT list_contains(line, z))
+SELECT node, descendant, CAST(min(len(line)) AS INTEGER) AS distance FROM t GROUP BY node, descendant""",
     "p2_tree_paths": _TREES + " SELECT root, node, hex(path) AS path_hex, CAST(len(line) - 1 AS INTEGER) AS depth FROM w WHERE len(line) > 1",
     "p2_found": """
 WITH RECURSIVE c AS MATERIALIZED (SELECT commit_sha AS node, min(parents[1]) AS parent FROM fx_commit WHERE commit_sha IS NOT NULL GROUP BY 1),

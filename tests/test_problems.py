@@ -131,6 +131,51 @@ def test_walk(spark, monkeypatch, finish, chunk, share):
     assert {x.node for x in rings.collect()} == ring
 
 
+def brute_pairs(children):
+    """Shortest distance by one link or more from each node to each it reaches."""
+    out = set()
+    for n in list(children):
+        seen, front, d = set(), {n}, 0
+        while front:
+            d += 1
+            front = {z for x in front for z in children[x]} - seen
+            seen |= front
+            out |= {(n, z, d) for z in front}
+    return out
+
+
+@pytest.mark.parametrize("finish, chunk", [(300_000, 40_000), (300_000, 37), (5, 37)])
+def test_descendants(spark, monkeypatch, finish, chunk):
+    monkeypatch.setattr(hierarchy, "FINISH_ROWS", finish)
+    monkeypatch.setattr(hierarchy, "CHUNK_NODES", chunk)
+    par = random_forest(chunk + finish)
+    children = defaultdict(list)
+    for n, p in par.items():
+        if p in par:
+            children[p].append(n)
+    for n in par:
+        children[n]
+    nodes = spark.createDataFrame([(n, p, None if i % 9 == 0 else f"r{i % 2}", DAY) for i, (n, p) in enumerate(par.items())], "node string, parent string, part string, pos timestamp")
+    index = hierarchy.materialize(hierarchy.descendant_index(nodes), "test-index")
+    assert sorted(r.node for r in index.collect()) == sorted(par)
+    assert {r.node for r in index.collect() if r.circle} == {n for n, _, d in brute_forest(par) if d == -1}
+    got = rows(hierarchy.descendant_pairs(index))
+    assert got == sorted(brute_pairs(children), key=str)  # on and below circles too, each once
+    assert hierarchy.descendant_index(nodes.limit(0)).count() == 0
+
+
+def test_tree_descendants(spark):
+    links = [("t1", "t2"), ("t2", "t3"), ("t1", "t3"), ("t3", "t4"), ("t5", "t6"), ("t6", "t7"), ("t7", "t5"), ("t7", "t4"), ("t8", "t8"), ("t6", "t6")]
+    e = [(i, "r", a, 0, "40000", b"d", z, DAY) for i, (a, z) in enumerate(links)] * 2 + [(90, "r", "t4", 0, "100644", b"f", None, None), (91, "r", "t4", 0, "40000", b"g", "none", DAY), (92, "r", "t1", 0, "100644", b"g", "t8", DAY), (93, "r", None, 0, "40000", b"g", "t8", DAY)]
+    children = defaultdict(list)
+    for a, z in links:
+        children[a].append(z)
+    children["t4"]
+    got = rows(hierarchy.tree_descendants(spark.createDataFrame(e, ENTRY)))
+    assert got == sorted(brute_pairs(children), key=str)  # no commit takes any of them as root
+    assert hierarchy.tree_descendants(spark.createDataFrame([], ENTRY)).count() == 0
+
+
 def test_hierarchies(spark):
     c = [("r", "c1", "t1", None, "a", "b", "m", DAY), ("r", "c2", "t1", ["c1", "c9"], "a", "b", "m", DAY), ("r", "c2", "t1", ["c1", "c9"], "a", "b", "m", dt(2024, 2, 1)), ("r", "c3", "tx", ["zz"], "a", None, "m", None), (None, "c4", None, [], "a", "b", "m", DAY), ("r", "c5", "t1", ["c5"], "a", "b", "m", DAY), ("r", "c6", "t1", ["c5"], "a", "b", "m", DAY)]
     e = [(1, "r", "t1", 0, "40000", b"d", "t2", DAY), (2, "r", "t1", 1, "040000", b"x", "t3", DAY), (3, "r", "t2", 0, "40000", b"u", "t1", DAY), (3, "r", "t2", 0, "40000", b"u", "t1", DAY), (4, None, "t3", 0, "100644", b"f", None, None), (5, "r", "t2", 1, "40000", b"g", "none", DAY)]
