@@ -6,7 +6,8 @@ index over token ids, weighted by statistics of the whole corpus.  A seed, the
 largest text not yet placed, queries the index; its unused neighbours fill the
 seed's window best first, each if it fits; what space is left goes to the
 largest unused text that fits.  A window then takes the smallest container
-class that holds it.
+class that holds it.  Neighbours in other shards are not retrieved (the README
+has the recall this gives).
 
 The statistics are a vector over the vocabulary, whose size is fixed, so they
 may be sent to every task.  Shards are packed one after another within a task;
