@@ -12,7 +12,7 @@ has the recall this gives).
 The statistics are a vector over the vocabulary, whose size is fixed, so they
 may be sent to every task.  Shards are packed one after another within a task;
 memory is bounded by a shard.  Very frequent terms (in over a quarter of all
-texts) carry next to no weight and are not looked up in queries.
+texts), which are few, are kept as dense columns beside the inverted index.
 
 Defined results: a text longer than the largest class is split into full
 containers, its rest is an item like others; texts without tokens (null,
@@ -98,15 +98,24 @@ class Shard:
         doc = np.repeat(np.arange(self.m, dtype=np.int32), [len(t) for t in terms])
         term = np.concatenate(terms) if terms else np.zeros(0, np.int32)
         tf = (np.concatenate(tfs) if tfs else np.zeros(0)).astype(np.float32)
-        keep = ~self.common[term]
-        doc, term, tf = doc[keep], term[keep], tf[keep]
         weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))).astype(np.float32)
+        keep = ~self.common[term]
+        column = np.cumsum(self.common) - 1
+        self.dense = np.zeros((int(self.common.sum()), self.m), np.float32)
+        self.dense[column[term[~keep]], doc[~keep]] = weight[~keep]
+        self.columns = [column[t[self.common[t]]] for t in terms]
+        doc, term, weight = doc[keep], term[keep], weight[keep]
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.starts = np.searchsorted(term[order], np.arange(len(df) + 1))
         self.terms = [t[~self.common[t]] for t in terms]
 
+    def all_scores(self, item: int) -> np.ndarray:
+        """BM25 over all terms of the item."""
+        return self.scores(item) + self.dense[self.columns[item]].sum(axis=0)
+
     def scores(self, item: int) -> np.ndarray:
+        """The part of the terms that are not common."""
         t = self.terms[item]
         a, z = self.starts[t], self.starts[t + 1]
         length = z - a
@@ -174,7 +183,7 @@ def pack_shard(rows: list[tuple], classes: list[tuple[int, int]], df: np.ndarray
         tfs.append(f)
     size = np.array(sizes, np.int64)
     shard = Shard(size, terms, tfs, df, n, mean)
-    windows = fill(size, largest, shard.scores)
+    windows = fill(size, largest, shard.all_scores)
     empty = np.flatnonzero(size == 0).tolist()
     if empty:
         if windows:

@@ -31,6 +31,27 @@ def test_scores():
         assert np.allclose(shard.scores(seed), brute_bm25(seed, docs, df, 60, mean), rtol=1e-4)
 
 
+def test_common_terms():
+    r = random.Random(5)
+    docs = [Counter(r.choices(range(12), k=r.randint(1, 30))) for _ in range(40)]  # nearly all terms are common
+    df = np.bincount([t for d in docs for t in d], minlength=12)
+    mean = sum(sum(d.values()) for d in docs) / 40
+    args = [np.array([sum(d.values()) for d in docs]), [np.array(sorted(d), np.int32) for d in docs], [np.array([d[t] for t in sorted(d)], np.int32) for d in docs], df, 40, mean]
+    shard = packing.Shard(*args)
+    assert shard.common.any()
+    for seed, d in enumerate(docs):
+        want = []
+        for x in docs:
+            size = sum(x.values())
+            want.append(sum(math.log1p((40 - df[t] + 0.5) / (df[t] + 0.5)) * x[t] * (packing.K1 + 1) / (x[t] + packing.K1 * (1 - packing.B + packing.B * size / mean)) for t in d if t in x))
+        assert np.allclose(shard.all_scores(seed), want, rtol=1e-4)
+    # Texts that share only common terms are taken best first, not in order of place.
+    rows = [(i, size, np.array(t, np.int32), np.array(f, np.int32)) for i, (size, t, f) in enumerate([(6, [0, 1], [3, 3]), (4, [2], [4]), (4, [0, 1], [2, 2]), (4, [2], [4])])]
+    df = np.array([2, 2, 2])
+    placed = list(packing.pack_shard(rows, [(1, 10)], df, 4, 4.5))
+    assert {x[0] for x in placed if x[4] == "0:0"} == {0, 2}
+
+
 def test_fill():
     r = random.Random(2)
     for cap in (10, 100):
