@@ -53,6 +53,7 @@ _PART = re.compile(r"(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*\d{0,4}|[A-Z]{1,12}\d{0,2}|\
 _HUMP = re.compile(r"[A-Z]?[a-z]+")
 _HARD = re.compile(r"[bcdfghjklmnpqrstvwxz]{5,}", re.I)
 _SPLIT = re.compile(r"[_+/.-]+")
+_VALUE = re.compile(r"[A-Za-z0-9_+/=.~-]*")
 _BELOW = re.compile(r"[:=]\s*(?:[>|][-+]?|\\)\Z")
 _SIGNS = frozenset("!#$%&()*+;<=>?@^_`{|}~")
 _JOINT = re.compile(r"[\"'][\s,+.&|()\[\]\\-]{0,200}[\"']")
@@ -508,8 +509,13 @@ def accepted(text: str, a: int, z: int) -> tuple[int, int] | None:
 def spans_in(text: str, places: list[tuple[int, int]], labelled: list[list[tuple[int, int]]]) -> list[tuple[int, int, list[tuple[int, int]]]]:
     """(start, end, pieces) of each credential: pieces joined by quotes, signs or a call are one."""
     found: list[tuple[int, int, list[tuple[int, int]]]] = []
-    for (at, _), spans in zip(places, labelled):
+    run = -1, -1  # the last run of value characters
+    for (at, y), spans in zip(places, labelled):
         for a, z in spans:
+            if not run[0] <= at + z <= run[1]:
+                run = at + z, _VALUE.match(text, at + z).end()
+            if run[1] > y:  # the stretch ended within the value
+                z = run[1] - at
             if found and at + a < found[-1][1]:
                 if at + a == found[-1][0] and at + z > found[-1][1] and len(found[-1][2]) == 1:  # cut off where a stretch ended
                     found[-1] = (found[-1][0], at + z, [(found[-1][0], at + z)])

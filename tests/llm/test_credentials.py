@@ -148,3 +148,13 @@ def test_keys_without_end(model):
     cut = "\n".join([head, line(), line()])
     text = f"{cut}\n\npassword = 'g7Kq!2vRz0pW'\n{KEY}\nrest"  # a key's END is not another's
     assert C.redact(text.encode(), C.find_all([text.encode()], model)[0]).decode() == "[REDACTED]\n\npassword = '[REDACTED]'\n[REDACTED]\nrest"
+
+
+def test_value_beyond_its_window(model):
+    r = random.Random(9)
+    part = lambda n: "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdfghijklmnopqrstuvwxyz0123456789-_", k=n))
+    for n in (300, 700, 3_000):
+        value = f"ey{'J'}hbGciOiJSUzI1NiIsInR5cCI6IkpXVCJ9.ey{'J'}{part(n)}.{part(n)}"
+        for before, after in (("Authorization: Bearer ", "\nnext line"), ("access_jwt = '", "'; done()\n"), ("é\n+access_token: ", "\n+b")):
+            payload = f"{before}{value}{after}".encode()
+            assert C.redact(payload, C.find_all([payload], model)[0]) == f"{before}[REDACTED]{after}".encode(), (n, before)
