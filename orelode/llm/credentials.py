@@ -54,6 +54,7 @@ _HUMP = re.compile(r"[A-Z]?[a-z]+")
 _HARD = re.compile(r"[bcdfghjklmnpqrstvwxz]{5,}", re.I)
 _SPLIT = re.compile(r"[_+/.-]+")
 _VALUE = re.compile(r"[A-Za-z0-9_+/=.~-]*")
+_NAMED = re.compile(r"([A-Za-z][A-Za-z0-9_.-]{5,})[=:]")
 _BELOW = re.compile(r"[:=]\s*(?:[>|][-+]?|\\)\Z")
 _SIGNS = frozenset("!#$%&()*+;<=>?@^_`{|}~")
 _JOINT = re.compile(r"[\"'][\s,+.&|()\[\]\\-]{0,200}[\"']")
@@ -61,7 +62,16 @@ _BEFORE, _AFTER, _LONGEST = 160, 520, 4_000
 
 
 def _patch_line(line: str) -> bool:
-    """A line of a binary patch: a length and letters of base 85, many of them signs."""
+    """A line of a binary patch: a length and letters of base 85, many of them signs.
+
+    The letter gives the bytes of the line, A to Z 1 to 26 and a to z 27 to 52, in fives of letters for fours of bytes.
+    Short words are in such lines by chance, so that a sure word doesn't tell; a name with its value is none.
+    """
+    if not "A" <= line[:1] <= "Z" and not "a" <= line[:1] <= "z":
+        return False
+    n = ord(line[0]) - (64 if line[0] <= "Z" else 70)
+    if len(line) - 1 != -(-n // 4) * 5 or (m := _NAMED.match(line)) and _plain(m.group(1)):
+        return False
     return len(line) >= 40 and line[0].isalpha() and "://" not in line and not any(c in " \t\"'" for c in line) and sum(c in _SIGNS for c in line) >= 6
 
 

@@ -158,3 +158,14 @@ def test_value_beyond_its_window(model):
         for before, after in (("Authorization: Bearer ", "\nnext line"), ("access_jwt = '", "'; done()\n"), ("é\n+access_token: ", "\n+b")):
             payload = f"{before}{value}{after}".encode()
             assert C.redact(payload, C.find_all([payload], model)[0]) == f"{before}[REDACTED]{after}".encode(), (n, before)
+
+
+def test_env_line_is_no_patch(model):
+    value = "x9Kd+Qm7ZkL/2vR8tW5yH+b3N+eJ6pX+4fTq1s=="
+    for name in ("SERVICE_CLIENT_API_SECRET", "BILLING_API_TOKEN"):
+        text = f"a=1\n{name}={value}\nb=2".encode()
+        assert C.windows(text.decode()) and not C._patch_line(f"{name}={value}")
+    assert starts(f"a=1\nSERVICE_CLIENT_API_SECRET={value}\nb=2".encode(), model) == [30]
+    patch = "z" + "key!#$%&(" + "aB3)*+;<=>" * 5 + "zZ0zZ0"  # 52 bytes
+    assert len(patch) == 66 and C._patch_line(patch) and C.windows(patch) == []
+    assert not C._patch_line("service_token=" + "aB3+" * 13)  # 66, as if of 52 bytes
