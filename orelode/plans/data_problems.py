@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from orelode.operators import hierarchy, history, hot_keys, nested, orphans, snapshots
 from orelode.sources.tables import table
 
+NO_BOUND = 2**31 - 1  # circles end each walk; the ceiling of levels is one of scans
+
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return hot_keys.hot_keys(hot_keys.occurrence_profile(table(spark, d, "fx_occurrence"), table(spark, d, "fx_commit")))
@@ -54,7 +56,7 @@ def p2_tree_paths(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "fx_tree_entry").where("tree_oid is not null and name is not null")
     e = e.select(F.col("tree_oid").alias("node"), F.col("child_oid").alias("child"), "name", "mode", F.col("repo_id").alias("part"), F.col("observed_at").alias("pos"))
     roots = table(spark, d, "fx_commit").where("tree is not null").select(F.col("tree").alias("node")).distinct()
-    return history.expand_trees(roots, e).where("kind = 'tree'").select("root", "node", F.hex("path").alias("path_hex"), "depth")
+    return history.expand_trees(roots, e, NO_BOUND).where("kind = 'tree'").select("root", "node", F.hex("path").alias("path_hex"), "depth")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -176,6 +176,16 @@ def test_tree_descendants(spark):
     assert hierarchy.tree_descendants(spark.createDataFrame([], ENTRY)).count() == 0
 
 
+def test_tree_paths_have_no_ceiling(spark, tmp_path):
+    from orelode.plans import data_problems
+
+    n = 1_005
+    spark.createDataFrame([(i, "r", f"t{i:04}", 0, "40000", b"d", f"t{i + 1:04}", DAY) for i in range(n)] + [(n, "r", f"t{n:04}", 0, "100644", b"f", "x", DAY)], ENTRY).write.parquet(f"{tmp_path}/fx_tree_entry.parquet")
+    spark.createDataFrame([("r", "c", "t0000", None, "a", "b", "m", DAY)], COMMIT).write.parquet(f"{tmp_path}/fx_commit.parquet")
+    got = data_problems.p2_tree_paths(spark, str(tmp_path)).select("node", "depth").collect()
+    assert sorted(tuple(r) for r in got) == [(f"t{i:04}", i) for i in range(1, n + 1)]
+
+
 def test_hierarchies(spark):
     c = [("r", "c1", "t1", None, "a", "b", "m", DAY), ("r", "c2", "t1", ["c1", "c9"], "a", "b", "m", DAY), ("r", "c2", "t1", ["c1", "c9"], "a", "b", "m", dt(2024, 2, 1)), ("r", "c3", "tx", ["zz"], "a", None, "m", None), (None, "c4", None, [], "a", "b", "m", DAY), ("r", "c5", "t1", ["c5"], "a", "b", "m", DAY), ("r", "c6", "t1", ["c5"], "a", "b", "m", DAY)]
     e = [(1, "r", "t1", 0, "40000", b"d", "t2", DAY), (2, "r", "t1", 1, "040000", b"x", "t3", DAY), (3, "r", "t2", 0, "40000", b"u", "t1", DAY), (3, "r", "t2", 0, "40000", b"u", "t1", DAY), (4, None, "t3", 0, "100644", b"f", None, None), (5, "r", "t2", 1, "40000", b"g", "none", DAY)]
