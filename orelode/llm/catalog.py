@@ -19,6 +19,10 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
     return credentials.redacted(table(spark, d, "documents"), table(spark, d, "fx_object"), table(spark, d, "scan_report"))
 
 
+def p4_redacted_reports(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.redacted_reports(table(spark, d, "scan_report"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.token_ids(table(spark, d, "documents"))
 
@@ -39,7 +43,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return language.language_segments(table(spark, d, "documents"), table(spark, d, "lang_sample"))
 
 
-_QUERIES = [p4_found, p4_redacted, p7_ids, p8_packing, p8_container_use, p9_found, p9_segments]
+_QUERIES = [p4_found, p4_redacted, p4_redacted_reports, p7_ids, p8_packing, p8_container_use, p9_found, p9_segments]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

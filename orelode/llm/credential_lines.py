@@ -31,7 +31,7 @@ def _alnum(r: random.Random, n: int, extra: str = "") -> str:
 
 def _pem(r: random.Random, kind: str | None = None, glue: str = "\n", lines: int | None = None) -> str:
     kind = kind if kind is not None else r.choice(("RSA ", "EC ", "DSA ", "OPENSSH ", "ENCRYPTED ", "", ""))
-    body = glue.join("".join(r.choices(string.ascii_letters + string.digits + "+/", k=64)) for _ in range(lines or r.randint(2, 5)))
+    body = glue.join("".join(r.choices(string.ascii_letters + string.digits + "+/", k=64)) for _ in range(lines or r.choice((2, 3, 4, 5, 12))))
     return f"-----BEGIN {kind}PRIVATE KEY-----{glue}{body}"
 
 
@@ -60,6 +60,14 @@ def secret(r: random.Random, kind: str) -> str:
         return base64.b64encode(_alnum(r, r.randint(9, 18), "!#$%").encode()).decode()
     if kind == "X":
         return base64.b64encode(_pem(r, glue="\n", lines=2).encode()).decode()
+    if kind == "W":  # a word, as people will have it
+        return r.choice((r.choice(WORDS), syllables(r, 3), r.choice(WORDS) + str(r.randint(1, 2029)), r.choice(WORDS).capitalize() + str(r.randint(1, 99)) + r.choice(("", "!"))))
+    if kind == "V":  # keys of services, known by their first letters
+        f = lambda k: "".join(r.choices("0123456789abcdef", k=k))
+        return r.choice((
+            lambda: f"sk_live_{_alnum(r, r.choice((24, 32, 48)))}", lambda: f"rk_live_{_alnum(r, 24)}", lambda: f"AIza{_alnum(r, 35, '-_')}", lambda: f"glpat-{_alnum(r, 20, '-_')}", lambda: f"npm_{_alnum(r, 36)}", lambda: f"hf_{_alnum(r, 34)}",
+            lambda: f"SG.{_alnum(r, 22, '-_')}.{_alnum(r, 43, '-_')}", lambda: f"shpat_{f(32)}", lambda: f"dop_v1_{f(64)}", lambda: f"ya29.{_alnum(r, 60, '-_')}", lambda: f"pypi-{_alnum(r, 80, '-_')}", lambda: f"github_pat_{_alnum(r, 22)}_{_alnum(r, 59)}",
+        ))()
     style = r.randrange(9)  # P: what people and generators make up
     if style == 0:
         return syllables(r, 3).capitalize() + str(r.randint(100, 9999)) + r.choice(("", *"!#$%&*?@"))
@@ -84,6 +92,28 @@ HOLDING = """
 password = "{SP}"
 password = '{SP}'
 password: {SP}
+password = "{SW}"
+password = '{SW}'
+passwd = "{SW}"
+"password": "{SW}",
+{U}_PASSWORD={SW}
+export {U}_PASSWORD="{SW}"
+DB_PASSWORD={SW}
+{w}.password={SW}
+{w} -u {p}://{u}:{SL}@{h}
+{w} {p}://{u}:{SL}@{h}
+{w}('{w}', '{SV}')
+{w} = '{SV}'
+{v} = "{SV}"
+{w}: {SV}
+{U}_{d}={SV}
+{v}.{w}("{SV}")
+{{"{w}": "{SV}"}}
+curl -u {SV}: https://{h}/{w}
+{v}('{w}', '{SB}')
+{v}("{w}", "{ST}")
+{v}('{h}', '{u}', '{ST}')
+{w}.{v}("{u}", "{ST}", {N})
 password: "{SP}"
 passwd = '{SP}'
 pwd = "{SP}"
@@ -205,6 +235,9 @@ private_key: |\\n  {SQ}
 {w}_key: {SX}
 var {v} = ['<<{a}>>', '<<{b}>>', '<<{b}>>'].join('');
 var {v} = ["<<{a}>>", "<<{b}>>", "<<{b}>>"].join("");
+{v} = ["<<{a}>>", "<<{b}>>", "<<{b}>>"].join("")
+{v} = ['<<{a}>>', '<<{b}>>', '<<{b}>>'].join('')
+{w}: ["<<{a}>>", "<<{b}>>", "<<{b}>>"].join(""),
 {v} = "<<{g}>>" + "<<{c}>>"
 {v} = '<<{g}>>' + '<<{c}>>'
 {v} = "<<{g}>>" . "<<{c}>>"
@@ -241,6 +274,29 @@ Le mot de passe provisoire du serveur de recette est {SL} jusqu'à vendredi.
 LOOKALIKES = """
 password: true
 password: null
+password = {w}
+password = {v}({w})
+password={v},
+"password": "password",
+{v}Token = "{w}{d}"
+token{d} = "{v}"
+{w}_key = "{v}"
+{C}
+{C}
+{v}('{w}', '{F}')
+{v}("{D}")
+{v}('{w}', '{v}', "{w}-{w}")
+postgres://{h}:{N}/{w}?user={v}
+for {w} in *.{w}{d}; do
+\x00\x01{C}\x00{v} = "{w}-{N}"
+\x00\x01{C}\x00return {v}.map(({w}) => {w}.{v});
+{q}{q} | {n} | 2024-0{d}-1{d}T22:34:23Z
+{v} = '{Y}'
+{w}: "{w}_{w}_{w}_{d}b"
+{w} = "{w}-{w}-{d}a"
+{w}-{w}-{w}-{N}.tar.gz
+import {{ {v} }} from './{w}/{w}{d}.js';
+https://{h}/{w}/{w}{d}/{F}.zip
 password: ~
 password: ********
 password: [hidden]
@@ -411,7 +467,7 @@ def _fill(r: random.Random, form: str) -> tuple[str, list[tuple[int, int]]]:
     alnum = string.ascii_letters + string.digits
     plain = {
         "w": lambda: r.choice(WORDS), "v": name, "V": lambda: name().capitalize(), "U": lambda: r.choice(WORDS).upper(), "u": lambda: r.choice((name(), r.choice(WORDS), syllables(r, 2))), "h": host,
-        "N": lambda: str(r.randint(100, 9999)), "d": lambda: str(r.randint(0, 99)), "p": lambda: r.choice(("postgres", "mysql", "redis", "mongodb", "amqp", "https")), "X": lambda: r.choice("xX*") * r.randint(8, 44),
+        "N": lambda: str(r.randint(100, 9999)), "d": lambda: str(r.randint(0, 99)), "p": lambda: r.choice(("postgres", "mysql", "redis", "mongodb", "amqp", "https", "ftp", "sftp", "smtp", "ldap", "mongodb+srv")), "X": lambda: r.choice("xX*") * r.randint(8, 44),
         "C": lambda: "".join(r.choices(alnum + "+/", k=r.choice((64, 86)))), "D": lambda: "".join(r.choices("0123456789abcdef", k=64)), "F": lambda: "".join(r.choices("0123456789abcdef", k=40)), "q": lambda: "".join(r.choices("0123456789abcdef", k=7)),
         "M": lambda: ":".join("".join(r.choices("0123456789abcdef", k=2)) for _ in range(16)), "Y": lambda: "-".join("".join(r.choices("0123456789abcdef", k=k)) for k in (8, 4, 4, 4, 12)), "n": lambda: f"{syllables(r, 2).capitalize()} {syllables(r, 3).capitalize()}", "T": lambda: str(r.randint(1_600_000_000, 1_750_000_000)),
         "Z": lambda: "".join(r.choices(alnum + "!#$%&()*+-;<=>?@^_`{|}~", k=65)), "a": lambda: _upper20(r)[:4], "b": lambda: "".join(r.choices(string.ascii_uppercase + string.digits, k=8)), "g": lambda: secret(r, "G")[: r.randint(4, 12)], "c": lambda: _alnum(r, r.randint(24, 60)),

@@ -7,12 +7,16 @@ characters that are redacted.  The field is trained here, on lines drawn from
 
 Bytes are seen as one character each, so positions are byte offsets whatever
 the encoding; UTF-16 is told by its mark or its zero bytes and counted in twos.
-Windows of whole lines around words and prefixes that credentials come with are
-labelled (all of a text's windows, lines of any length); where a prefix is cut
+The field labels every line that names a credential, holds a prefix of one, or
+holds any run of letters and digits that is more than names and numbers (dates,
+mail addresses and bare hexadecimal aside), and private keys over all their
+lines; a line without any of these has nothing that the field could tell from a
+word.  A line of more than ``_LONGEST`` characters is cut into stretches that
+overlap, and a value goes on over the end of its stretch.  Where a prefix is cut
 over adjacent quoted pieces, the pieces are joined before and told apart again
 afterwards, so that the field sees the prefix whole.  An exact check then
-extends private keys over all their lines, and drops spans that are placeholders or references, heads of keys without key
-material, and digests.
+completes private keys, and drops spans that are placeholders or references,
+heads of keys without key material, and digests.
 
 Defined results: null and empty payloads have no rows; repeated deliveries give
 one row per place; a credential in pieces is one row, at its first piece.
@@ -58,7 +62,10 @@ _NAMED = re.compile(r"([A-Za-z][A-Za-z0-9_.-]{5,})[=:]")
 _BELOW = re.compile(r"[:=]\s*(?:[>|][-+]?|\\)\Z")
 _SIGNS = frozenset("!#$%&()*+;<=>?@^_`{|}~")
 _JOINT = re.compile(r"[\"'][\s,+.&|()\[\]\\-]{0,200}[\"']")
-_BEFORE, _AFTER, _LONGEST = 160, 520, 4_000
+_SHAPED = re.compile(r"[A-Za-z0-9_+/=.~!#$%^&*?-]{10,}")
+_BARE_HEX = re.compile(r"[0-9a-f.]+\Z|[0-9A-F.]+\Z")
+_TIME = re.compile(r"\d{4}-\d\d-\d\dT\d\d\Z")
+_BEFORE, _AFTER, _LONGEST = 1_000, 2_000, 4_000  # of lines that are longer still: how far a stretch goes
 
 
 def _patch_line(line: str) -> bool:
@@ -99,6 +106,11 @@ def _worth(line: str) -> bool:
     return any(not _plain(m) for m in _RUN.findall(line))
 
 
+def _made_up(run: str) -> bool:
+    """Letters and digits that are no names, no numbers, no time and not bare hexadecimal."""
+    return any(c.isdigit() for c in run) and not _BARE_HEX.match(run) and not _TIME.match(run) and not _plain(run)
+
+
 def cut_joints(text: str) -> list[tuple[int, int]]:
     """What stands between adjacent quoted pieces where one of ``PREFIXES`` is whole only once they are joined, in order."""
     joints, starts, parts, at, size = [], [], [], 0, 0
@@ -151,12 +163,14 @@ def windows(text: str) -> list[tuple[int, int]]:
     found: list[tuple[int, int]] = []
     sure: set[tuple[int, int]] = set()
 
-    def line(i: int, reach: int = _AFTER) -> None:
-        a = flat.rfind("\n", max(0, i - _BEFORE), i) + 1 or max(0, i - _BEFORE)
-        z = flat.find("\n", i, i + reach)
-        if z < 0:
-            z = min(len(flat), i + reach)
-        found.append((a, z))
+    def line(i: int) -> None:
+        """The whole line around ``i``; of a very long one, a stretch."""
+        a = flat.rfind("\n", max(0, i - _LONGEST), i) + 1
+        z = flat.find("\n", i, i + _LONGEST)
+        if not a and i > _LONGEST or z < 0 and i + _LONGEST < len(flat) or z - a > _LONGEST:
+            found.append((max(a, i - _BEFORE), min(z if z >= 0 else len(flat), i + _AFTER)))
+        else:
+            found.append((a, z if z >= 0 else len(flat)))
 
     for k, t in enumerate(TRIGGERS):
         strong = k < len(STRONG)
@@ -177,11 +191,15 @@ def windows(text: str) -> list[tuple[int, int]]:
             if t == "-----BEGIN":  # the material begins on the next line
                 a, z = found.pop()
                 n = flat.find("\n", z + 1 + (flat[z : z + 2] == "\n\n"))
-                found.append((a, min(len(flat), n if 0 <= n <= z + 160 else z + 160)))
+                z = min(len(flat), n if 0 <= n <= z + 160 else z + 160)
+                found.append((a, max(z, key_end(flat, i))))
             sure.add(found[-1])
             i = flat.find(t, i + len(t))
     for m in _FIVE.finditer(flat):
         line(m.start())
+    for m in _SHAPED.finditer(flat):
+        if _made_up(m.group()[:300]) and flat[m.end() : m.end() + 1] != "@":
+            line(m.start())
     if not found:
         return []
     found.sort()
@@ -215,6 +233,7 @@ _KEYWORD = re.compile(r"pass|pw(?:d|\b)|has\xc5\x82o|\xd0\xbf\xd0\xb0\xd1\x80\xd
 _WARN = re.compile(r"sha\d+|checksum|digest|integrity|fingerprint|pinned|revision|rev\b|etag|uuid|\bid\b|base64,|ssh-rsa|CERTIFICATE|PUBLIC KEY|SIGNATURE|environ|getenv|get_secret|input\(|vault|re\.compile|startswith|Change-Id|commit\b", re.I)
 _HEX = re.compile(r"[0-9a-f]+\Z")
 _UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\Z", re.I)
+#: Forms of well-known keys (fixed values).
 _KNOWN = [
     ("aws", re.compile(r"(?:A3T[A-Z0-9]|AKIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])")),
     ("awshead", re.compile(r"(?:AKIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA|ASIA)\Z")),
@@ -223,6 +242,7 @@ _KNOWN = [
     ("xox", re.compile(r"xox[baprs]-\d{8,}-")),
     ("jwt", re.compile(r"eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.")),
     ("pem64", re.compile(r"LS0tLS1CRUdJTi")),
+    ("vendor", re.compile(r"(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{16,}|AIza[\w-]{30,}|glpat-[\w-]{16,}|npm_[A-Za-z0-9]{30,}|hf_[A-Za-z0-9]{30,}|SG\.[\w-]{16,}\.[\w-]{16,}|shp(?:at|ss|ca|pa)_[0-9a-f]{32}|dop_v1_[0-9a-f]{64}|ya29\.[\w-]{20,}|pypi-[\w-]{20,}|github_pat_\w{22,}|xapp-\d-[A-Z0-9]+-\d+-[0-9a-f]+|xox[eo]-[\w-]{20,}")),
 ]
 _SPECIAL = frozenset("!@#$%^&*?~+")
 
@@ -292,7 +312,7 @@ def features(line: str, spans: list[tuple[int, int]]) -> list[list[int]]:
     """``FEATURES`` places in the weights for each token."""
     ix = _INDEX
     n = len(spans)
-    texts = [line[a:z] for a, z in spans]
+    texts = ["\n" if line[a] in "\r\n" else line[a:z] for a, z in spans]
     lows = [t.lower() if len(t) <= 18 else "LONG" for t in texts]
     solid = [i for i, t in enumerate(texts) if not t.isspace()]
     rank = [0] * n
@@ -443,6 +463,10 @@ _PEM_REST = re.compile(r"[ \t\"',;)\\+]*(?:[\r\n]|\\[rn]|-----END|\Z)")
 _PEM_RUN = re.compile(r"[A-Za-z0-9+/=]+")
 _REFERENCE = re.compile(r"[<{\[(]|\$[{(A-Za-z_]|%[({]|![a-z]+(?:-[a-z]+)*\Z|\*{3,}|x{4,}|X{4,}|\.{3}|your|change.?me|example|placeholder|redacted|hidden|dummy|none\Z|null\Z|true\Z|false\Z|os\.|process\.|env\b|getenv|vault", re.I)
 _GLUE = re.compile(r"[\"'\s,+.&|()\[\]-]{1,12}\Z")
+_OPENED = re.compile(r"([\"'])[^\s\\\"':=/@?;,(){}\[\]]{1,1999}\Z")
+_CLOSED = {q: re.compile(rf"[^\s\\\"'`;,(){{}}\[\]<>]{{1,9999}}{q}") for q in "\"'"}
+_LAST_SIGN = re.compile(r"[!#$%&*^~+?=]{1,3}(?=[\s\"'`]|\Z)")
+_TO_QUOTE = {q: re.compile(rf"[^\r\n\\{q}]*") for q in "\"'`"}
 _TRIM = " \t\r\n\"'`,;"
 
 
@@ -478,6 +502,19 @@ def material_end(text: str, z: int, stop: int) -> int:
     return z
 
 
+def key_end(text: str, at: int) -> int:
+    """Where the private key whose first dash is at ``at`` ends; ``at`` if it has no material."""
+    head = _PEM_HEAD.match(text, at)
+    body = _PEM_BODY.match(text, head.end(), head.end() + 2_000) if head else None
+    if not body:
+        return at
+    stop = text.find("-----BEGIN", head.end())
+    stop = stop if stop >= 0 else len(text)
+    z = material_end(text, body.end(), stop)  # as far as it goes
+    end = _PEM_END.search(text, z, min(stop, z + 200))  # behind a last line that is no material
+    return end.end() if end else z
+
+
 def accepted(text: str, a: int, z: int) -> tuple[int, int] | None:
     """The exact span of a credential the field found, or None."""
     while a < z and text[a] in _TRIM:
@@ -487,14 +524,8 @@ def accepted(text: str, a: int, z: int) -> tuple[int, int] | None:
     s = text[a:z]
     head = _PEM_HEAD.search(text, max(0, a - 48), min(len(text), z + 80))
     if head and head.start() <= a + 3 and (a <= head.end() or _PEM_BODY.match(text, head.end(), z + 80)):
-        body = _PEM_BODY.match(text, head.end(), head.end() + 2_000)
-        if not body:
-            return None
-        stop = text.find("-----BEGIN", head.end())
-        stop = stop if stop >= 0 else len(text)
-        z = material_end(text, body.end(), stop)  # as far as it goes
-        end = _PEM_END.search(text, head.end(), min(stop, head.end() + 20_000))  # beyond what is no material, near by
-        return head.start(), max(z, end.end()) if end else z
+        end = key_end(text, head.start())
+        return (head.start(), end) if end > head.start() else None
     if len(s) < 4 or "-----" in s:
         return None
     begun = text.rfind("-----BEGIN ", max(0, a - 6_000), a)
@@ -511,17 +542,30 @@ def accepted(text: str, a: int, z: int) -> tuple[int, int] | None:
                 return None
         except ValueError:
             return None
-        more = re.compile(r"[A-Za-z0-9+/=]+").match(text, a)
+        more = _PEM_RUN.match(text, a)
         return a, more.end() if more else z
+    if a and text[a - 1] not in "\"'" and (m := _OPENED.search(text, max(0, a - 2_000), a)) and text.find(m.group(1), z, z + 200) >= 0:
+        a = m.start() + 1  # what stands between the quote and the rest
+    if a and text[a - 1] in "\"'" and (m := _CLOSED[text[a - 1]].match(text, z)):
+        return a, m.end() - 1  # a literal is one value
+    if z - a >= 8 and (rest := _VALUE.match(text, z).group().rstrip(".")):
+        z += len(rest)  # a value goes on to the end of its run
+    if (more := _LAST_SIGN.match(text, z)) and (z - a < 40 or text[z] != "="):
+        z = more.end()
     return a, z
 
 
 def spans_in(text: str, places: list[tuple[int, int]], labelled: list[list[tuple[int, int]]]) -> list[tuple[int, int, list[tuple[int, int]]]]:
     """(start, end, pieces) of each credential: pieces joined by quotes, signs or a call are one."""
     found: list[tuple[int, int, list[tuple[int, int]]]] = []
+    keys = [(m.start(), key_end(text, m.start())) for m in _PEM_HEAD.finditer(text)] if "-----BEGIN" in text else []
+    key_starts = [a for a, _ in keys]
     run = -1, -1  # the last run of value characters
     for (at, y), spans in zip(places, labelled):
         for a, z in spans:
+            if at + z == y and a and text[at + a - 1] in "\"'`" and y < len(text) and text[y] not in "\r\n" + text[at + a - 1]:
+                close = _TO_QUOTE[text[at + a - 1]].match(text, y)  # the stretch ended within the quotes
+                z = close.end() - at
             if not run[0] <= at + z <= run[1]:
                 run = at + z, _VALUE.match(text, at + z).end()
             if run[1] > y:  # the stretch ended within the value
@@ -530,8 +574,9 @@ def spans_in(text: str, places: list[tuple[int, int]], labelled: list[list[tuple
                 if at + a == found[-1][0] and at + z > found[-1][1] and len(found[-1][2]) == 1:  # cut off where a stretch ended
                     found[-1] = (found[-1][0], at + z, [(found[-1][0], at + z)])
                 continue
-            ok = accepted(text, at + a, at + z)
-            if not ok:
+            k = bisect_right(key_starts, at + a) - 1
+            ok = keys[k] if k >= 0 and at + a < keys[k][1] else accepted(text, at + a, at + z)  # a part found of a key finds it whole
+            if not ok or found and ok[0] < found[-1][1]:
                 continue
             if found and ok[0] - found[-1][1] <= 12 and ok[0] > found[-1][1] and _GLUE.match(text[found[-1][1] : ok[0]]) and any(q in text[found[-1][1] : ok[0]] for q in "\"'"):
                 found[-1][2].append(ok)
@@ -559,8 +604,15 @@ def view(payload: bytes) -> tuple[str, int, int, str]:
     return payload.decode("latin-1"), 0, 1, "latin-1"
 
 
-def offset(text: str, i: int, lead: int, width: int, codec: str) -> int:
-    return i if width == 1 else lead + len(text[:i].encode(codec, "surrogatepass"))
+_ASTRAL = re.compile(r"[\U00010000-\U0010ffff]")
+
+
+def byte_places(text: str, lead: int, width: int):
+    """Character to byte place; in UTF-16 what lies beyond the first plane counts twice."""
+    if width == 1:
+        return lambda i: i
+    far = [m.start() for m in _ASTRAL.finditer(text)]
+    return lambda i: lead + 2 * (i + bisect_left(far, i))
 
 
 def find_all(payloads: list[bytes | None], model: LinearChain) -> list[list[tuple[int, int, list[tuple[int, int]]]]]:
@@ -577,8 +629,7 @@ def find_all(payloads: list[bytes | None], model: LinearChain) -> list[list[tupl
             out.append([])
             continue
         mine, at = labelled[at : at + len(w)], at + len(w)
-        text, lead, width, codec = v
-        b = lambda i: offset(text, i, lead, width, codec)  # noqa: E731, B023
+        b = byte_places(v[0], v[1], v[2])
         found = spans_in(t, w, mine)
         if cut:  # a prefix and nothing more is no credential
             found = [f for f in found if "".join(t[a:z] for a, z in f[2]) not in PREFIXES]
@@ -630,7 +681,8 @@ def sources(documents: DataFrame, objects: DataFrame, reports: DataFrame) -> Dat
     """``(source_table, record_id, payload)`` of all that is searched.
 
     Payloads do not move: copies of an object are searched where they lie, and
-    their rows, which are few, are made distinct afterwards.
+    their rows, which are few, are made distinct afterwards.  Trees hold modes,
+    names and object ids only, and names are no credentials: they are left out.
     """
     from orelode.operators.nested import flat_tables
 
@@ -651,6 +703,29 @@ def credentials(documents: DataFrame, objects: DataFrame, reports: DataFrame) ->
     return rows.distinct()
 
 
+def _redact_bodies(batches: Iterable[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    m = model.value
+    for b in batches:
+        for i in range(0, b.num_rows, 16):
+            part = b.slice(i, 16)
+            bodies = part.column(1).to_pylist()
+            raw = [x.encode("utf-8", "surrogatepass") if x else None for x in bodies]
+            found = find_all(raw, m)
+            clean = [x if p is None else redact(p, f).decode("utf-8", "surrogatepass") for x, p, f in zip(bodies, raw, found)]
+            yield pa.record_batch([part.column(0), pa.array(clean, pa.string()), pa.array([len(f) for f in found], pa.int32())], names=["report_id", "body", "n_redacted"])
+
+
+def redacted_reports(reports: DataFrame) -> DataFrame:
+    """``(report_id, body, n_redacted)``: whole reports without the credentials in them, wherever these stand.
+
+    A mark holds nothing that JSON would escape and stands inside a text, so a
+    readable body stays readable; unreadable bodies are redacted as any text,
+    null stays null, and repeated deliveries give repeated rows.
+    """
+    model = model_for(reports.sparkSession)
+    return reports.select(F.col("report_id").cast("bigint").alias("report_id"), F.col("body").cast("string").alias("body")).mapInArrow(lambda it: _redact_bodies(it, model), "report_id bigint, body string, n_redacted int")
+
+
 def redacted(documents: DataFrame, objects: DataFrame, reports: DataFrame) -> DataFrame:
     """``(source_table, record_id, payload, n_redacted)``: the same texts without their credentials."""
     model = model_for(documents.sparkSession)
