@@ -85,10 +85,23 @@ def p6_flat_tables(spark: SparkSession, d: str) -> DataFrame:
     return nested.flat_tables(table(spark, d, "scan_report"))
 
 
+def _p6(child_table: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return nested.typed(nested.flat_tables(table(spark, d, "scan_report")), child_table).drop("rest", "variant")
+
+    return query
+
+
+def p6_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each subtype table, from the tables themselves."""
+    t = nested.variant_tables(table(spark, d, "scan_report"))
+    return t.groupBy("child_table", "variant").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_key_counts, p1_blob_repo_counts, p1_occurrence_lists, p2_found, p2_commit_paths, p2_commit_descendants, p2_commit_descendant_index, p2_tree_descendants, p2_tree_paths, p3_found, p3_report, p5_found, p5_change_values, p6_found, p6_flat_tables)
-}
+    for f in (p1_found, p1_key_counts, p1_blob_repo_counts, p1_occurrence_lists, p2_found, p2_commit_paths, p2_commit_descendants, p2_commit_descendant_index, p2_tree_descendants, p2_tree_paths, p3_found, p3_report, p5_found, p5_change_values, p6_found, p6_flat_tables, p6_variants)
+} | {f"p6_{t}s": _p6(t) for t in ("finding", "occurrence", "signal", "timeline")}
 
 _OCC = "(SELECT DISTINCT * FROM fx_occurrence)"
 _P3 = """
@@ -114,6 +127,33 @@ SELECT stream_id, snapshot_no, path, CASE WHEN o.stream_id IS NULL THEN 'added'
 FROM (SELECT *, true AS here FROM new) n FULL JOIN (SELECT *, true AS here FROM old) o USING (stream_id, snapshot_no, path)
 WHERE n.here IS NULL OR o.here IS NULL OR n.blob_oid IS DISTINCT FROM o.blob_oid OR n.mode IS DISTINCT FROM o.mode
 """
+_P6 = """
+WITH raw AS (SELECT DISTINCT report_id, body FROM scan_report WHERE body IS NOT NULL),
+js AS (SELECT report_id, CASE WHEN json_valid(b) THEN CAST(b AS JSON) END AS j FROM (SELECT report_id, ltrim(body, chr(65279) || chr(32) || chr(9) || chr(10) || chr(13)) AS b FROM raw)),
+rep AS (SELECT report_id, coalesce(j->'$.payload.report', j->'$.report', j)->'$.findings' AS r FROM js WHERE j IS NOT NULL),
+fs AS MATERIALIZED (SELECT report_id, CASE WHEN json_type(r) = 'VARCHAR' THEN CAST(r->>'$' AS JSON) ELSE r END AS fs FROM rep),
+f AS MATERIALIZED (
+  SELECT report_id, x->>'$.id' AS finding_id, x FROM (SELECT report_id, unnest(json_extract(fs, '$[*]')) AS x FROM fs WHERE json_type(fs) = 'ARRAY') WHERE json_type(x) = 'OBJECT'
+  UNION ALL SELECT report_id, coalesce(x->>'$.id', k), x FROM (SELECT report_id, k, json_extract(fs, '$."' || k || '"') AS x FROM (SELECT report_id, fs, unnest(json_keys(fs)) AS k FROM fs WHERE json_type(fs) = 'OBJECT')) WHERE json_type(x) = 'OBJECT'),
+p AS (SELECT report_id, finding_id, 'occurrence' AS child_table, 'occurrences' AS part, x->'$.occurrences' AS v FROM f
+  UNION ALL SELECT report_id, finding_id, 'signal', 'evidencesignals', coalesce(x->'$.evidenceSignals', x->'$.evidence_signals') FROM f
+  UNION ALL SELECT report_id, finding_id, 'timeline', 'timeline', CASE WHEN json_type(x->'$.timeline') = 'VARCHAR' THEN CAST(x->>'$.timeline' AS JSON) ELSE x->'$.timeline' END FROM f),
+e AS MATERIALIZED (SELECT report_id, finding_id, child_table, part, CAST(i - 1 AS INTEGER) AS child_pos, 'list of ' || child_table AS variant, l[i] AS x FROM (SELECT *, json_extract(v, '$[*]') AS l FROM p WHERE json_type(v) = 'ARRAY'), unnest(range(1, len(l) + 1)) AS u(i) WHERE json_type(l[i]) <> 'NULL'
+  UNION ALL SELECT report_id, finding_id, child_table, part, 0, child_table, v FROM p WHERE json_type(v) = 'OBJECT'),
+t AS (SELECT report_id, finding_id, child_pos, part, CAST(child_pos AS VARCHAR) AS place, child_table, x FROM e)
+"""
+
+
+def _both(camel: str, kind: str = "VARCHAR") -> str:
+    """A field under either spelling."""
+    snake = "".join(f"_{c.lower()}" if c.isupper() else c for c in camel)
+    return f"CAST(coalesce(x->>'$.{camel}', x->>'$.{snake}') AS {kind}) AS "
+
+
+def _p6_part(kind: str, columns: str) -> str:
+    return f"{_P6} SELECT report_id, finding_id, child_pos, part, place, {columns} FROM t WHERE child_table = '{kind}'"
+
+
 _UP = """
 WITH RECURSIVE c AS (SELECT commit_sha AS node, min(parents[1]) AS parent FROM fx_commit WHERE commit_sha IS NOT NULL GROUP BY 1),
 w(node, path) AS (SELECT node, [node] FROM c WHERE parent IS NULL OR parent NOT IN (SELECT node FROM c)
@@ -167,6 +207,12 @@ FROM n FULL JOIN c USING (key_kind, key_value)""",
     "p1_blob_repo_counts": """
 SELECT blob_id, repo_id, count(*) AS n_joined, CAST(sum(commit_timestamp) AS BIGINT) AS sum_timestamp
 FROM fx_occurrence JOIN fx_commit USING (commit_sha) GROUP BY ALL""",
+    "p6_found": f"""{_P6} SELECT DISTINCT 'finding' AS child_table, report_id, finding_id, 0 AS child_pos FROM f UNION ALL SELECT DISTINCT child_table, report_id, finding_id, child_pos FROM e""",
+    "p6_findings": f"""{_P6} SELECT report_id, finding_id, 0 AS child_pos, 'findings' AS part, '0' AS place, {_both('blobId')}blob_id, {_both('patternName')}pattern_name, {_both('exposureState')}exposure_state, {_both('confidenceScore', 'BIGINT')}confidence_score,
+  {_both('confidenceTier')}confidence_tier, x->>'$.redacted' AS redacted, {_both('lineNumber', 'BIGINT')}line_number, {_both('byteOffset', 'BIGINT')}byte_offset, {_both('isBinary', 'BOOLEAN')}is_binary FROM f""",
+    "p6_occurrences": _p6_part("occurrence", f"{_both('commitSha')}commit_sha, {_both('commitTimestamp', 'BIGINT')}commit_timestamp, x->>'$.author' AS author, x->>'$.path' AS path"),
+    "p6_signals": _p6_part("signal", "x->>'$.rule' AS rule, CAST(x->>'$.score' AS BIGINT) AS score, x->>'$.detail' AS detail"),
+    "p6_timelines": _p6_part("timeline", f"{_both('earliestObservedCommit')}earliest_commit, {_both('removalObservedCommit')}removal_commit, {_both('evidenceNote')}evidence_note"),
     "p3_found": _P3 + "SELECT * FROM found",
     "p3_report": _P3 + "SELECT source_table, period, count(*) AS n_references, count(DISTINCT record_id) AS n_records, count(DISTINCT missing_oid) AS n_missing FROM found GROUP BY ALL",
     "p5_found": _P5,

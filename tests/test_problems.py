@@ -287,9 +287,58 @@ def test_nested(spark):
     assert nested.flat_tables(df.limit(0)).count() == 0
 
 
+def nested_rows(body, rid=1):
+    return list(nested.rows_of(rid, body))
+
+
 def test_deep_and_long_reports():
     deep = '{"schemaVersion": "1", "findings": [{"id": "x", "redacted": "r", "timeline": ' + '{"a":' * 600 + "1" + "}" * 600 + "}]}"
-    assert [(r["child_table"], len(r["variant"]) < 60) for r in nested.rows_of(1, deep)] == [("finding", True), ("timeline", True)]
-    assert list(nested.rows_of(1, '{"a":' * 100_000)) == [] and nested.report_of("[" * 100_000) is None
+    assert [(r["child_table"], len(r["variant"]) < 60) for r in nested_rows(deep)] == [("report", True), ("finding", True), ("timeline", True)]
+    assert [r["child_table"] for r in nested_rows('{"a":' * 100_000)] == ["unreadable"] and nested.report_of("[" * 100_000)[0] is None
     many = json.dumps({"schemaVersion": "1", "findings": [{"id": "x", "occurrences": [{"commitSha": "c", "path": "p"}] * 50_000}]})
-    assert sum(1 for _ in nested.rows_of(1, many)) == 50_001
+    assert sum(1 for _ in nested_rows(many)) == 50_002
+    # A sibling of any depth hides nothing, and is kept itself.
+    pit = "[" * 200_000 + "]" * 200_000
+    got = nested_rows('{"schemaVersion":"1","deep":' + pit + ',"findings":[{"id":"a"}]}')
+    assert [r["child_table"] for r in got] == ["report", "finding"] and pit in got[0]["rest"]
+    assert nested.dumps(nested.loads(pit)) == pit
+
+
+@pytest.mark.parametrize("text", ["{}", "[]", ' { "a" : [ 1 , -2.5e3 , "x\\n" , true , null , { } , [ ] ] , "a" : { "b" : [ [ ] ] } } ', '"t"', "0"])
+def test_reader_of_deep_json(text):
+    assert nested._deep_loads(text.strip()) == json.loads(text)
+
+
+@pytest.mark.parametrize("text", ["", "{", "[1", "[1,]", '{"a"}', '{"a":}', "{1:2}", "[1 2]", "1 2", "tru", "]", '{"a":1,}'])
+def test_reader_refuses(text):
+    with pytest.raises(ValueError):
+        nested._deep_loads(text)
+
+
+def test_nothing_vanishes():
+    wrap = lambda f: json.dumps({"meta": {"host": "h"}, "payload": {"schemaVersion": "1", "findings": f, "coverageGaps": [1]}})
+    f = {"id": "a", "confidenceScore": 85.0, "lineNumber": "12", "byteOffset": "12x", "isBinary": "true", "blobId": 7, "novel": {"x": [1]}}
+    report, envelope, row = nested_rows(wrap([[[f]]]))
+    assert (row["confidence_score"], row["line_number"], row.get("byte_offset"), row["is_binary"], row["blob_id"]) == (85, 12, None, True, "7")
+    assert json.loads(row["rest"]) == {"confidencescore": 85.0, "linenumber": "12", "byteoffset": "12x", "isbinary": "true", "novel": {"x": [1]}}
+    assert json.loads(report["rest"]) == {"schemaversion": "1", "coveragegaps": [1]} and json.loads(envelope["rest"]) == {"meta": {"host": "h"}, "payload": None}
+    o = lambda v, name="occurrences": [(r["child_table"], r["child_pos"], r["place"], r.get("commit_sha"), r["rest"]) for r in nested_rows(json.dumps({"schemaVersion": "1", "findings": [{"id": "a", name: v}]})) if r["child_table"] not in ("report", "finding")]
+    assert o({"0": {"commitSha": "p"}, "4": {"commitSha": "q"}}) == [("occurrence", 0, "0", "p", None), ("occurrence", 4, "4", "q", None)]  # a map of places
+    assert o([[{"commitSha": "p"}, {"commitSha": "q"}], None, {"commitSha": "r"}]) == [("occurrence", 0, "0.0", "p", None), ("occurrence", 0, "0.1", "q", None), ("occurrence", 2, "2", "r", None)]
+    assert o(["plain", 5]) == [("occurrence", 0, "0", None, '"plain"'), ("occurrence", 1, "1", None, "5")] and o("") == [] == o(" ") == o([]) == o(None)
+    assert o([{"commitTimestamp": 1.7e9}])[0][4] == '{"committimestamp": 1700000000.0}'
+    assert [x[:3] for x in o([{"evidenceNote": "n"}, {"evidenceNote": "m"}], "timeline")] == [("timeline", 0, "0"), ("timeline", 1, "1")]
+    assert [x[0] for x in o([{"commitSha": "p"}], "seenBefore")] == ["occurrence"]  # told by its state, under a name of its own
+    assert o("seen in passing", "timeline") == [("timeline", 0, "0", None, '"seen in passing"')]
+    assert [r["finding_id"] for r in nested_rows(wrap({"k": [{"id": "x"}, {"redacted": "r"}], "m": json.dumps(json.dumps({"redacted": "r"}))}))[2:]] == ["x", "k", "m"]
+
+
+def test_variants(spark, tmp_path):
+    occ = {"commitSha": "c", "path": "p"}
+    bodies = [(1, json.dumps({"schemaVersion": "1", "findings": [{"id": "a", "occurrences": [occ, occ]}, {"id": "b", "occurrences": occ}, {"id": "c", "occurrences": json.dumps([occ])}]})), (2, "{")]
+    df = spark.createDataFrame(bodies, "report_id bigint, body string")
+    t = nested.variant_tables(df, str(tmp_path / "v"))
+    got = Counter((r.child_table, r.variant) for r in t.collect())
+    assert got == {("report", "report"): 1, ("finding", "finding"): 3, ("occurrence", "list of occurrence"): 2, ("occurrence", "occurrence"): 1, ("occurrence", "text of list of occurrence"): 1, ("unreadable", "unreadable"): 1}
+    assert nested.typed(t, "occurrence").columns == ["report_id", "finding_id", "child_pos", "part", "place", "variant", "commit_sha", "commit_timestamp", "author", "path", "rest"]
+    assert nested.typed(t, "unreadable").first().detail.startswith("no JSON") and nested.typed(t, "occurrence").count() == 4
