@@ -212,13 +212,13 @@ def finding_digest(blob: Column, offset: Column, pattern: Column) -> Column:
     return F.sha2(F.concat(blob.cast("binary"), z, offset.cast("string").cast("binary"), z, pattern.cast("binary")), 256)
 
 
-def evidence(base: Column, pattern: Column, entropy: Column, e_score: Column, c_score: Column, words: Column, p_score: Column) -> Column:
+def evidence(base: Column, pattern: Column, category: Column, entropy: Column, e_score: Column, c_score: Column, words: Column, p_score: Column) -> Column:
     """The signals that count, in order."""
     def signal(rule: str, score: Column, detail: Column) -> Column:
         return F.struct(F.lit(rule).alias("rule"), score.cast("int").alias("score"), detail.alias("detail"))
 
     every = F.array(
-        signal("Strong Pattern Match", base, pattern),
+        signal("Strong Pattern Match", base, F.format_string("Matched %s (%s)", pattern, category)),
         signal("Shannon Entropy Analysis", e_score, F.format_string("Entropy: %.2f bits/byte", entropy)),
         signal("Context Keywords", c_score, F.concat(F.lit("Nearby keywords: ["), F.array_join(words, " "), F.lit("]"))),
         signal("Path Sensitivity", p_score, F.format_string("Path signal score: %+d", p_score)),

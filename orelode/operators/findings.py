@@ -30,7 +30,7 @@ def scored(candidates: DataFrame, states: DataFrame | None = None, paths: DataFr
     c = c.withColumn("confidence_score", detect.confidence(F.col("base_score"), F.col("entropy_score"), F.col("context_score"), F.col("path_score")))
     digest = detect.finding_digest(F.col("blob_id"), F.col("byte_offset"), F.col("pattern_name"))
     return c.withColumn("confidence_tier", detect.tier(F.col("confidence_score"))).withColumn("full_digest", digest).withColumn("id", F.substring("full_digest", 1, 16)).withColumn(
-        "evidence_signals", detect.evidence(F.col("base_score"), F.col("pattern_name"), F.col("entropy"), F.col("entropy_score"), F.col("context_score"), F.col("keywords"), F.col("path_score"))
+        "evidence_signals", detect.evidence(F.col("base_score"), F.col("pattern_name"), F.col("category"), F.col("entropy"), F.col("entropy_score"), F.col("context_score"), F.col("keywords"), F.col("path_score"))
     )
 
 

@@ -12,11 +12,11 @@ NO_BOUND = 2**31 - 1  # circles end each walk; the ceiling of levels is one of s
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return hot_keys.hot_keys(hot_keys.occurrence_profile(table(spark, d, "fx_occurrence"), table(spark, d, "fx_commit")))
+    return hot_keys.hot_keys(hot_keys.occurrence_counts(table(spark, d, "fx_occurrence")))
 
 
 def p1_key_counts(spark: SparkSession, d: str) -> DataFrame:
-    return hot_keys.occurrence_profile(table(spark, d, "fx_occurrence"), table(spark, d, "fx_commit")).drop("n_total")
+    return hot_keys.occurrence_profile(table(spark, d, "fx_occurrence"), table(spark, d, "fx_commit"))
 
 
 def p1_blob_repo_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -30,6 +30,11 @@ def p1_occurrence_lists(spark: SparkSession, d: str) -> DataFrame:
     return one.unionByName(hot_keys.occurrence_lists(o, "commit_sha").withColumn("key_kind", F.lit("commit")))
 
 
+def p1_list_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of all lists, taken out of them again."""
+    return p1_occurrence_lists(spark, d).select("key_kind", "key_value", F.explode("occurrences").alias("o")).select("key_kind", "key_value", "o.*")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.hierarchies(table(spark, d, "fx_commit"), table(spark, d, "fx_tree_entry"))
 
@@ -100,7 +105,7 @@ def p6_variants(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_key_counts, p1_blob_repo_counts, p1_occurrence_lists, p2_found, p2_commit_paths, p2_commit_descendants, p2_commit_descendant_index, p2_tree_descendants, p2_tree_paths, p3_found, p3_report, p5_found, p5_change_values, p6_found, p6_flat_tables, p6_variants)
+    for f in (p1_found, p1_key_counts, p1_blob_repo_counts, p1_occurrence_lists, p1_list_rows, p2_found, p2_commit_paths, p2_commit_descendants, p2_commit_descendant_index, p2_tree_descendants, p2_tree_paths, p3_found, p3_report, p5_found, p5_change_values, p6_found, p6_flat_tables, p6_variants)
 } | {f"p6_{t}s": _p6(t) for t in ("finding", "occurrence", "signal", "timeline")}
 
 _OCC = "(SELECT DISTINCT * FROM fx_occurrence)"
@@ -213,6 +218,9 @@ FROM fx_occurrence JOIN fx_commit USING (commit_sha) GROUP BY ALL""",
     "p6_occurrences": _p6_part("occurrence", f"{_both('commitSha')}commit_sha, {_both('commitTimestamp', 'BIGINT')}commit_timestamp, x->>'$.author' AS author, x->>'$.path' AS path"),
     "p6_signals": _p6_part("signal", "x->>'$.rule' AS rule, CAST(x->>'$.score' AS BIGINT) AS score, x->>'$.detail' AS detail"),
     "p6_timelines": _p6_part("timeline", f"{_both('earliestObservedCommit')}earliest_commit, {_both('removalObservedCommit')}removal_commit, {_both('evidenceNote')}evidence_note"),
+    "p1_list_rows": f"""
+WITH o AS {_OCC}, k AS (SELECT 'blob' AS key_kind, blob_id AS key_value, * FROM o UNION ALL SELECT 'commit', commit_sha, * FROM o)
+SELECT key_kind, key_value, commit_timestamp, commit_sha, blob_id, path, commit_date, author, loaded_at FROM k WHERE key_value IS NOT NULL""",
     "p3_found": _P3 + "SELECT * FROM found",
     "p3_report": _P3 + "SELECT source_table, period, count(*) AS n_references, count(DISTINCT record_id) AS n_records, count(DISTINCT missing_oid) AS n_missing FROM found GROUP BY ALL",
     "p5_found": _P5,

@@ -76,7 +76,7 @@ def entropy_tiers(spark, d):
 
 
 def context_keywords(spark, d):
-    return detect.candidates(_texts(spark, d)).select("blob_id", "pattern_name", "byte_offset", "context_score", F.array_join(F.array_sort("keywords"), " ").alias("keywords"))
+    return detect.candidates(_texts(spark, d)).select("blob_id", "pattern_name", "byte_offset", "context_score", F.array_join("keywords", " ").alias("keywords"))
 
 
 def binary_oversize_flags(spark, d):
@@ -102,7 +102,7 @@ def redacted_findings(spark, d):
 
 def evidence_signals(spark, d):
     f = _text_findings(spark, d).select("id", F.posexplode("evidence_signals").alias("pos", "s"))
-    return f.select("id", "pos", "s.rule", "s.score", F.when(F.col("s.rule") != "Context Keywords", F.col("s.detail")).alias("detail"))
+    return f.select("id", "pos", "s.rule", "s.score", "s.detail")
 
 
 def blob_oids(spark, d):
@@ -272,8 +272,8 @@ SELECT *, CASE WHEN r >= 4.5 THEN 25 WHEN r >= 3.8 THEN 18 WHEN r >= 3.0 THEN 10
   CASE WHEN pk OR contains(v, 'PRIVATE KEY') THEN '[REDACTED PRIVATE KEY]' WHEN length(v) <= 8 THEN '...' ELSE v[1:4] || '...' || v[-4:] END AS redacted
 FROM (SELECT id, pattern_name, category, base, pk, v, off, bin, CAST(CASE WHEN bin THEN 1 ELSE 1 + off - length(replace(substr(a, 1, off), chr(10), '')) END AS INTEGER) AS line,
   list_entropy(string_split(v, '')) AS e, round(list_entropy(string_split(v, '')), 9) AS r,
-  list_sort(list_distinct(list_transform(regexp_extract_all(substr(a, greatest(off - 100, 0) + 1, off + length(v) + 100 - greatest(off - 100, 0)), '(?i)(?:^|[^a-zA-Z0-9])({words})(?:$|[^a-zA-Z0-9])', 1), lambda x: lower(x)))) AS words
-  FROM ({' UNION ALL '.join(parts)}))"""
+  list_filter(ws, lambda x, i: list_position(ws, x) = i) AS words
+  FROM (SELECT *, list_transform(regexp_extract_all(substr(a, greatest(off - 100, 0) + 1, off + length(v) + 100 - greatest(off - 100, 0)), '(?i)(?:^|[^a-zA-Z0-9])({words})(?:$|[^a-zA-Z0-9])', 1), lambda x: lower(x)) AS ws FROM ({' UNION ALL '.join(parts)})))"""
 
 
 _TIER = "CASE WHEN score >= 90 THEN 'CRITICAL' WHEN score >= 70 THEN 'HIGH' WHEN score >= 40 THEN 'MEDIUM' ELSE 'LOW' END"
@@ -324,7 +324,7 @@ SQL = {
     "confidence_tiers": f"SELECT fid AS id, id AS blob_id, pattern_name, off AS byte_offset, score AS confidence_score, tier AS confidence_tier FROM ({_TEXT_F})",
     "redacted_findings": f"SELECT fid AS id, digest AS full_digest, id AS blob_id, sha256(v) AS fingerprint, redacted FROM ({_TEXT_F})",
     "evidence_signals": f"""
-WITH f AS (SELECT fid, list_filter([{{'rule': 'Strong Pattern Match', 'score': base, 'detail': pattern_name}}, {{'rule': 'Shannon Entropy Analysis', 'score': es, 'detail': printf('Entropy: %.2f bits/byte', e)}}, {{'rule': 'Context Keywords', 'score': cs, 'detail': NULL}}], lambda x: x.score <> 0) AS s FROM ({_TEXT_F}))
+WITH f AS (SELECT fid, list_filter([{{'rule': 'Strong Pattern Match', 'score': base, 'detail': printf('Matched %s (%s)', pattern_name, category)}}, {{'rule': 'Shannon Entropy Analysis', 'score': es, 'detail': printf('Entropy: %.2f bits/byte', e)}}, {{'rule': 'Context Keywords', 'score': cs, 'detail': printf('Nearby keywords: [%s]', array_to_string(words, ' '))}}], lambda x: x.score <> 0) AS s FROM ({_TEXT_F}))
 SELECT fid AS id, CAST(k - 1 AS INTEGER) AS pos, s[k].rule AS rule, s[k].score AS score, s[k].detail AS detail FROM f, unnest(range(1, len(s) + 1)) AS u(k)""",
     "blob_oids": "SELECT oid, storage, c AS computed_oid, oid <> c AS integrity_mismatch FROM (SELECT oid, storage, sha1(encode(type || ' ' || octet_length(payload)) || '\\x00'::BLOB || payload) AS c FROM fx_object WHERE payload IS NOT NULL)",
     "oid_validation": "SELECT ref_id, content, coalesce(regexp_full_match(content, '[0-9a-f]{40}'), false) AS is_oid FROM (SELECT ref_id, content FROM fx_ref UNION ALL SELECT entry_id, child_oid FROM fx_tree_entry)",

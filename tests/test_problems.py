@@ -30,20 +30,32 @@ def test_hot_keys(spark):
     c = spark.createDataFrame([("r", f"c{i}", "t", None, "a", "b", "m", DAY) for i in (0, 1, 2, 3, 4, 99)] * 2, COMMIT)
     prof = {(r.key_kind, r.key_value): r for r in hot_keys.occurrence_profile(o, c).collect()}
     total = len(set(data))
-    assert {r.n_total for r in prof.values()} == {total}
+    assert {r.n_total for r in hot_keys.occurrence_counts(o).collect()} == {total}
     want = Counter(("blob", x[0]) for x in set(data) if x[0] is not None) + Counter(("commit", x[1]) for x in set(data) if x[1] is not None)
     assert {k: r.n_occurrences for k, r in prof.items() if r.n_occurrences} == want
     assert prof["commit", "c1"].n_joined == 2 * want["commit", "c1"] and prof["commit", "c9"].n_joined == 0
     assert (prof["commit", "c99"].n_occurrences, prof["commit", "c99"].n_commit_rows) == (0, 2)
-    found = rows(hot_keys.hot_keys(hot_keys.occurrence_profile(o, c)))
+    found = rows(hot_keys.hot_keys(hot_keys.occurrence_counts(o)))
     assert found == sorted((k for k, n in want.items() if n * 100 >= total), key=str)
-    assert hot_keys.hot_keys(hot_keys.occurrence_profile(o.limit(0), c)).count() == 0
+    assert hot_keys.hot_keys(hot_keys.occurrence_counts(o.limit(0))).count() == 0 and hot_keys.occurrence_lists(o.limit(0), "blob_id").count() == 0
     got = hot_keys.eager_join_aggregate(o, c, "commit_sha", ["blob_id"], ["repo_id"], F.col("commit_timestamp"))
     plain = o.join(c.drop("author", "loaded_at"), "commit_sha").groupBy("blob_id", "repo_id").agg(F.count("*").alias("n_rows"), F.sum("commit_timestamp").alias("total"))
     assert rows(got) == rows(plain)
+    salted = hot_keys.eager_join_aggregate(o, c, "commit_sha", ["blob_id", "path"], ["repo_id"], F.col("commit_timestamp"), states_per_salt=1)
+    plain = o.join(c.drop("author", "loaded_at"), "commit_sha").groupBy("blob_id", "path", "repo_id").agg(F.count("*").alias("n_rows"), F.sum("commit_timestamp").alias("total"))
+    assert rows(salted) == rows(plain)
     lists = hot_keys.occurrence_lists(o, "blob_id", 10).collect()
     assert sum(r.n_rows for r in lists if r.key_value == "hot") == 120 and len([r for r in lists if r.key_value == "hot"]) > 5
     assert sum(r.n_rows for r in lists if r.key_value == "once") == 1  # exact repetitions count once
+    apart = o.withColumn("extra", F.expr("if(path = 'p7', 1, 0)")).unionByName(o.where("path = 'p7'").withColumn("extra", F.lit(2)))
+    assert sum(r.n_rows for r in hot_keys.occurrence_lists(apart, "blob_id", 10).collect() if r.key_value == "hot") == 121  # they differ in a column that is not listed
+    light = [("k%d" % (i % 5), "c", i, None, "a", "p", DAY) for i in range(100)]  # more rows than a shard, though none heavy
+    hot_keys.HEAVY, kept = 2, hot_keys.HEAVY
+    try:
+        got = hot_keys.occurrence_lists(spark.createDataFrame(light, OCC), "blob_id", 5).collect()
+    finally:
+        hot_keys.HEAVY = kept
+    assert sum(r.n_rows for r in got) == 100 and {r.n_shards for r in got} == {4}
 
 
 # ---------------------------------------------------------------- hierarchies
