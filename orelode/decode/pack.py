@@ -274,6 +274,7 @@ def parse_pack(data: bytes, path: str, max_object: int = MAX_OBJECT_BYTES, max_d
                 entry.header_error = "TruncatedOfsDeltaOffset"
                 entries.append(entry)
                 broken(start, "truncated OFS_DELTA offset")
+                at = end
                 break
         elif kind == REF_DELTA:
             if at + 20 > end:

@@ -1,5 +1,7 @@
 """Ceilings and constants (fixed values)."""
 
+import os
+
 MAX_OBJECT_BYTES = 64 * 1024 * 1024
 MAX_BLOB_SCANNED = 10 * 1024 * 1024
 BINARY_SNIFF_BYTES = 8192
@@ -16,3 +18,6 @@ MAX_TOTAL_OBJECTS = 500_000
 SCHEMA_VERSION = "1.0"
 TOOL_NAME = "orelode"
 TOOL_VERSION = "0.1.0-dev"
+# Set by a build; a checkout has neither.
+TOOL_COMMIT = os.environ.get("ORELODE_COMMIT", "unknown")
+TOOL_BUILT = os.environ.get("ORELODE_BUILT", "unknown")

@@ -59,6 +59,17 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _batches(rows(), ["kind", "tag", "node", "chunk"], [pa.string(), pa.string(), pa.string(), pa.int32()])
 
 
+def by_chunk(links: DataFrame) -> DataFrame:
+    """Each chunk's links together, so that a round reads those of its own chunks only."""
+    return links.repartition("chunk").sortWithinPartitions("chunk")
+
+
+def of_chunks(links: DataFrame, front: DataFrame, most: int = 1_000) -> DataFrame:
+    """The links of the chunks in ``front``: by name, which files are skipped by, if they are few."""
+    few = [r.chunk for r in front.select("chunk").distinct().limit(most + 1).collect()]
+    return links.where(F.col("chunk").isin(few)) if len(few) <= most else links.join(front.select("chunk").distinct(), "chunk", "left_semi")
+
+
 def closure(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, tag: str = "closure") -> DataFrame:
     """``(tag, node)`` of all that each tag's seeds reach, themselves included.
 
@@ -72,7 +83,7 @@ def closure(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, tag: str = "cl
         # -1: the child lies in the same chunk; null: it has no edges of its own
         "chunk", F.lit(0).alias("order"), F.lit(None).cast("string").alias("tag"), "node", "child", F.when(F.col("other") == F.col("chunk"), -1).otherwise(F.col("other")).alias("to"),
     )
-    links = materialize(links, f"{tag}-links")
+    links = materialize(by_chunk(links), f"{tag}-links")
     seeds = seeds.select("tag", "node").where("node is not null").distinct()
     seeds = materialize(seeds.join(placed, "node", "left"), f"{tag}-seeds")
     leaves = [seeds.where("chunk is null").select("tag", "node")]
@@ -80,7 +91,7 @@ def closure(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, tag: str = "cl
     entered, reached = front, []
     while True:
         states = front.select("chunk", F.lit(1).alias("order"), "tag", "node", F.lit(None).cast("string").alias("child"), F.lit(None).cast("int").alias("to"))
-        active = links.join(front.select("chunk").distinct(), "chunk", "left_semi")
+        active = of_chunks(links, front)
         out = active.unionByName(states).repartition("chunk").sortWithinPartitions("chunk", "order").mapInArrow(_spread, _REACHED)
         out = materialize(out, f"{tag}-round")
         reached.append(out.where("kind = 'reached'").select("tag", "node"))
@@ -89,6 +100,8 @@ def closure(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, tag: str = "cl
         if front.isEmpty():
             break
         entered = entered.unionByName(front)
+        if len(reached) % 8 == 0:
+            entered = materialize(entered, f"{tag}-entered")
     every = leaves[0]
     for x in leaves[1:] + reached:
         every = every.unionByName(x)

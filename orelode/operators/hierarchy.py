@@ -257,10 +257,10 @@ def forest_paths(nodes: DataFrame, tag: str = "paths") -> DataFrame:
     return local.join(whole, "top").select("node", F.concat("lead", "segment").alias("path"))
 
 
-def descendant_counts(paths: DataFrame) -> DataFrame:
-    """``(node, n_descendants)``; each path counts once for every node above its end."""
-    above = paths.select(F.explode("path").alias("node"))
-    return above.groupBy("node").agg((F.count(F.lit(1)) - 1).alias("n_descendants"))
+def descendant_counts(index: DataFrame) -> DataFrame:
+    """``(node, n_descendants)`` of all that neither lie on a circle nor lead into one, from :func:`descendant_index`."""
+    on = index.where("circle is not null").select("root").distinct()
+    return index.join(on, "root", "left_anti").select("node", (F.col("leave") - F.col("enter")).alias("n_descendants"))
 
 
 # ------------------------------------------------------------ descendants
@@ -424,9 +424,12 @@ def placement(nodes: DataFrame, links: DataFrame, tag: str) -> DataFrame:
     A node that several others link to is hung below one of them; the forest of
     these links is found as above, and nodes are cut into chunks by range of
     (the root's repository, root, depth).  A chain thus lies in one chunk, or
-    crosses borders once per chunk it fills.  ``links(parent, child)``.
+    crosses borders once per chunk it fills.  ``links(parent, child)``.  What
+    fits one chunk is one.
     """
     nodes = materialize(nodes.select("node", "part", "pos"), f"{tag}-nodes")
+    if nodes.count() <= CHUNK_NODES:
+        return nodes.select("node", F.lit(0).alias("chunk"))
     above = links.groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("parent"))
     hung = forest(nodes.join(above, "node", "left").select("node", "parent", "part", "pos"), f"{tag}-hung")
     of_root = nodes.select(F.col("node").alias("root"), F.col("part").alias("root_part"))
@@ -442,14 +445,10 @@ def placement(nodes: DataFrame, links: DataFrame, tag: str) -> DataFrame:
 def _peel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Drop links of a partition that cannot lie on a circle, as far as one chunk tells.
 
-    Rows (chunk, parent, child, here): all links of the chunk's parents; ``here``
-    tells that the child is a parent of the same chunk.
+    Rows (chunk, parent, child, here), chunk by chunk: all links of the chunk's
+    parents; ``here`` tells that the child is a parent of the same chunk.
     """
-    rows: dict = defaultdict(list)
-    for b in batches:
-        for chunk, a, z, here in zip(*(b.column(i).to_pylist() for i in range(4))):
-            rows[chunk].append((a, z, here))
-    for chunk, links in rows.items():
+    def one(chunk: int, links: list):
         alive: dict[str, int] = defaultdict(int)
         above = defaultdict(list)
         for a, z, here in links:
@@ -465,7 +464,19 @@ def _peel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not alive[a]:
                     gone.add(a)
                     dead.append(a)
-        yield from _batches(((chunk, a, z, here) for a, z, here in links if a not in gone and z not in gone), ["chunk", "parent", "child", "here"], [pa.int32(), pa.string(), pa.string(), pa.bool_()])
+        return ((chunk, a, z, here) for a, z, here in links if a not in gone and z not in gone)
+
+    def rows():
+        now, links = None, []
+        for b in batches:
+            for chunk, a, z, here in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if chunk != now:
+                    yield from one(now, links)
+                    now, links = chunk, []
+                links.append((a, z, here))
+        yield from one(now, links)
+
+    yield from _batches(rows(), ["chunk", "parent", "child", "here"], [pa.int32(), pa.string(), pa.string(), pa.bool_()])
 
 
 def _strong(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -518,13 +529,13 @@ def ring_nodes_of_graph(links: DataFrame, tag: str = "graph") -> DataFrame:
     """``(node)`` of every node of ``links(chunk, parent, child, cchunk)`` that can reach itself.
 
     Each round peels whole chunks from the leaves up, then drops links to nodes
-    that have none left.  Beyond ``FINISH_ROWS`` remaining links, a closure by
-    doubling takes the place of the single task.
+    that have none left.  Beyond ``FINISH_ROWS`` remaining links, components are
+    told by colors instead of in a single task.
     """
     left = links.select("chunk", "parent", "child", (F.col("chunk") == F.col("cchunk")).alias("here"))
     before = -1
     while True:
-        left = left.repartition("chunk").mapInArrow(_peel, "chunk int, parent string, child string, here boolean")
+        left = left.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_peel, "chunk int, parent string, child string, here boolean")
         left = materialize(left, f"{tag}-peeled")
         left = materialize(left.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("chunk", "parent", "child", "here"), f"{tag}-left")
         now = left.count()
@@ -534,11 +545,47 @@ def ring_nodes_of_graph(links: DataFrame, tag: str = "graph") -> DataFrame:
     pairs = left.select("parent", "child")
     if now <= FINISH_ROWS:
         return materialize(pairs.coalesce(1).mapInArrow(_strong, "node string"), f"{tag}-rings")
-    known, size = pairs.distinct(), -1
-    while size != (size := known.count()):
-        more = known.alias("a").join(known.select(F.col("parent").alias("child"), F.col("child").alias("far")), "child").select("parent", F.col("far").alias("child"))
-        known = materialize(known.unionByName(more).distinct(), f"{tag}-closure")
-    return known.where("parent = child").select(F.col("parent").alias("node"))
+    return _strong_by_colors(pairs.distinct(), tag)
+
+
+def _strong_by_colors(links: DataFrame, tag: str) -> DataFrame:
+    """Nodes that reach themselves, from ``links(parent, child)`` of any number.
+
+    Every node takes the smallest name among those that reach it as its color;
+    what reaches the node of that name within the color is its component.  The
+    components go, then what has no way in or no way out, until nothing is left.
+    No more than one row per node and link is ever held.
+    """
+    found = materialize(links.where("parent = child").select(F.col("parent").alias("node")).distinct(), f"{tag}-loops")
+    links = materialize(links.where("parent <> child"), f"{tag}-colored")
+    while True:
+        before = -1
+        while (now := links.count()) != before:  # neither a first nor a last node lies on a circle
+            before = now
+            links = links.join(links.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").join(links.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
+            links = materialize(links.select("parent", "child"), f"{tag}-trimmed")
+        if not now:
+            return found.distinct()
+        nodes = links.select(F.col("parent").alias("node")).distinct()
+        color = materialize(nodes.withColumn("color", F.col("node")), f"{tag}-color")
+        while True:
+            sent = links.join(color.withColumnRenamed("node", "parent"), "parent").groupBy(F.col("child").alias("node")).agg(F.min("color").alias("got"))
+            color = materialize(color.join(sent, "node", "left").select("node", F.least("color", F.coalesce("got", "color")).alias("color"), (F.col("got") < F.col("color")).alias("new")), f"{tag}-color")
+            moved = color.where("new").isEmpty()
+            color = color.select("node", "color")
+            if moved:
+                break
+        same = links.join(color.select(F.col("node").alias("parent"), "color"), "parent").join(color.select(F.col("node").alias("child"), F.col("color").alias("other")), "child").where("color = other")
+        same = materialize(same.select("parent", "child"), f"{tag}-same")
+        part = front = materialize(color.where("node = color").select("node"), f"{tag}-heads")
+        while not front.isEmpty():
+            step = same.join(front.withColumnRenamed("node", "child"), "child").select(F.col("parent").alias("node")).distinct()
+            front = materialize(step.join(part, "node", "left_anti"), f"{tag}-back")
+            part = materialize(part.unionByName(front), f"{tag}-part")
+        sizes = part.join(color, "node").groupBy("color").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("color")
+        found = materialize(found.unionByName(part.join(color, "node").join(sizes, "color", "left_semi").select("node")), f"{tag}-strong")
+        links = links.join(part.withColumnRenamed("node", "parent"), "parent", "left_anti").join(part.withColumnRenamed("node", "child"), "child", "left_anti")
+        links = materialize(links.select("parent", "child"), f"{tag}-left")
 
 
 _STATES = "kind string, root string, node string, depth int, seen array<string>, chunk int"
@@ -635,6 +682,8 @@ def walk_graph(nodes: DataFrame, links: DataFrame, roots: DataFrame, tag: str =
         if front.isEmpty():
             break
         past = past.unionByName(front)
+        if len(found) % 8 == 0:
+            past = materialize(past, f"{tag}-past")
     all_ = found[0]
     for f in found[1:]:
         all_ = all_.unionByName(f)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orelode.limits import MAX_TREE_DEPTH
+from orelode.operators.graph import by_chunk, of_chunks
 from orelode.operators.hierarchy import _batches, placement
 from orelode.session import materialize
 
@@ -68,14 +69,16 @@ def expand_trees(roots: DataFrame, entries: DataFrame, max_depth: int = MAX_TREE
     use = entries.where("child is not null").where(leaf | (F.col("mode") == "40000")).select("node", "child", "name", leaf.alias("leaf")).distinct()
     links = use.join(placed, "node").join(placed.select(F.col("node").alias("child"), F.col("chunk").alias("other")), "child", "left")
     links = links.where("leaf or other is not null").select("chunk", "node", "child", "name", F.when(~F.col("leaf") & (F.col("other") != F.col("chunk")), F.col("other")).alias("to"), "leaf")
-    links = materialize(links, "paths-links")
+    links = materialize(by_chunk(links), "paths-links")
     none = lambda t: F.lit(None).cast(t)
-    front = roots.join(placed, "node").select(F.col("node").alias("root"), "node", F.lit(b"").alias("path"), F.lit(0).alias("depth"), F.array("node").alias("line"), "chunk")
+    front = roots.join(placed, "node")
+    front = front.select(F.col("node").alias("root"), "node", F.lit(b"").alias("path"), F.lit(0).alias("depth"), F.array("node").alias("line"), "chunk")
+    front = materialize(front, "paths-front")
     found = []
     while True:
         edges = links.select("chunk", F.lit(0).alias("order"), none("string").alias("root"), "node", none("binary").alias("path"), none("int").alias("depth"), none("array<string>").alias("line"), "child", "name", "to", "leaf")
         states = front.select("chunk", F.lit(1).alias("order"), "root", "node", "path", "depth", "line", none("string").alias("child"), none("binary").alias("name"), none("int").alias("to"), none("boolean").alias("leaf"))
-        out = edges.join(front.select("chunk").distinct(), "chunk", "left_semi").unionByName(states).repartition("chunk").sortWithinPartitions("chunk", "order")
+        out = of_chunks(edges, front).unionByName(states).repartition("chunk").sortWithinPartitions("chunk", "order")
         out = materialize(out.mapInArrow(lambda it: _expand(it, max_depth), _ROWS), "paths-round")
         found.append(out.where("kind <> 'cross'").select("kind", "root", "node", "path", "depth"))
         front = out.where("kind = 'cross'").select("root", "node", "path", "depth", "line", "chunk")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orelode.plans import data_problems, forensics
+from orelode.plans import data_problems, forensics, repository_queries, store_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = [data_problems, forensics]
+_MODULES = [data_problems, forensics, store_queries, repository_queries]
 
 
 def queries() -> dict[str, Query]:

@@ -45,7 +45,7 @@ def p2_commit_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_commit_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.descendant_counts(hierarchy.forest_paths(hierarchy.commit_nodes(table(spark, d, "fx_commit")), "commit-paths"))
+    return hierarchy.descendant_counts(hierarchy.descendant_index(hierarchy.commit_nodes(table(spark, d, "fx_commit")), "commit-index"))
 
 
 def p2_commit_descendant_index(spark: SparkSession, d: str) -> DataFrame:

@@ -83,6 +83,9 @@ def _painter(no_color: bool):
     return paint
 
 
+# The labels of both texts are fixed values.
+
+
 def to_text(r: dict[str, Any], no_color: bool = False) -> str:
     paint = _painter(no_color)
     s, repo = r["summary"], r["repository"]

@@ -44,7 +44,7 @@ def peel(roots: DataFrame, objects: DataFrame, tags: DataFrame) -> DataFrame:
     """``(root, node, type, error)``: references followed through tags, at most ``MAX_PEEL_DEPTH`` objects deep."""
     kinds = objects.select(F.col("oid").alias("node"), "type")
     at = roots.select(F.col("node").alias("root"), "node", F.array("node").alias("past")).join(kinds, "node", "left").withColumn("error", F.lit(None).cast("string"))
-    for _ in range(MAX_PEEL_DEPTH):
+    for _ in range(MAX_PEEL_DEPTH - 1):  # the object behind the last step must be looked at as well
         on = at.where("type = 'tag' and error is null")
         if on.isEmpty():
             break
