@@ -1,12 +1,12 @@
 """References to records that do not exist, per table and month.
 
 Method: keyed pending-orphan state, maintained incrementally.  The state of an
-OID is a short ledger by month: how many copies arrived, how many went, how
+OID is a short ledger by month and table: how many copies arrived, how many went, how
 many references wait.  New references probe the parents' running balance,
 arriving parents resolve what waits, deletions reopen it; the snapshot at each
 month's end is the balance then.  The ledger is additive, so increments (late
 ones too) merge by summing (:func:`merge_ledgers`), and an OID never holds more
-rows than there are months, however many references or copies name it.
+rows than there are months and tables, however many references or copies name it.
 
 Defined results: references that are no OID after trimming, and references
 without a time, are none; a copy without ``stored_at`` is never present; a copy
@@ -54,7 +54,7 @@ def reference_rows(tree_entries: DataFrame, refs: DataFrame, classifications: Da
 
 
 def parent_ledger(objects: DataFrame) -> DataFrame:
-    """``(oid, month, balance, waiting)``: net copies gained by the end of each month."""
+    """``(oid, month, source_table, balance, waiting)``: net copies gained by the end of each month; their source is ''."""
     # What is stored before the next month's first instant counts from that month on;
     # what is deleted before that instant is gone from that month on.
     rows = objects.select("oid", month_no(F.col("stored_at")).alias("a"), month_no(F.col("deleted_at")).alias("z")).where("oid is not null and a is not null and (z is null or z > a)")
@@ -65,22 +65,32 @@ def parent_ledger(objects: DataFrame) -> DataFrame:
         ),
         lambda s: s.isNotNull(),
     )
-    return rows.select("oid", F.explode(steps).alias("s")).groupBy("oid", F.col("s.month").alias("month")).agg(F.sum("s.d").cast("bigint").alias("balance")).withColumn("waiting", F.lit(0).cast("bigint"))
+    return rows.select("oid", F.explode(steps).alias("s")).groupBy("oid", F.col("s.month").alias("month")).agg(F.sum("s.d").cast("bigint").alias("balance")).select("oid", "month", F.lit("").alias("source_table"), "balance", F.lit(0).cast("bigint").alias("waiting"))
 
 
 def reference_ledger(references: DataFrame) -> DataFrame:
-    return references.groupBy("oid", "month").agg(F.lit(0).cast("bigint").alias("balance"), F.count(F.lit(1)).alias("waiting")).select("oid", "month", "balance", "waiting")
+    return references.groupBy("oid", "month", "source_table").agg(F.count(F.lit(1)).alias("waiting")).select("oid", "month", "source_table", F.lit(0).cast("bigint").alias("balance"), "waiting")
 
 
 def merge_ledgers(*parts: DataFrame) -> DataFrame:
     """The state after all increments, in whatever order they came."""
-    return reduce(DataFrame.unionByName, parts).groupBy("oid", "month").agg(F.sum("balance").alias("balance"), F.sum("waiting").alias("waiting"))
+    return reduce(DataFrame.unionByName, parts).groupBy("oid", "month", "source_table").agg(F.sum("balance").alias("balance"), F.sum("waiting").alias("waiting"))
+
+
+def waiting_rows(ledger: DataFrame) -> DataFrame:
+    """The ledger's rows of references that wait for a parent at their month's end."""
+    run = Window.partitionBy("oid").orderBy("month").rangeBetween(Window.unboundedPreceding, 0)
+    return ledger.withColumn("held", F.sum("balance").over(run)).where("waiting > 0 and held <= 0")
+
+
+def pending_counts(ledger: DataFrame) -> DataFrame:
+    """``(source_table, period, n_references, n_missing)``: what waits, per table and month; repeated references count."""
+    return waiting_rows(ledger).groupBy("source_table", month_name(F.col("month")).alias("period")).agg(F.sum("waiting").alias("n_references"), F.count(F.lit(1)).alias("n_missing"))
 
 
 def pending(ledger: DataFrame) -> DataFrame:
     """``(oid, month)`` at whose end references of that month wait for a parent."""
-    run = Window.partitionBy("oid").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
-    return ledger.withColumn("held", F.sum("balance").over(run)).where("waiting > 0 and held <= 0").select("oid", "month")
+    return waiting_rows(ledger).select("oid", "month").distinct()
 
 
 def orphan_references(references: DataFrame, objects: DataFrame, always: DataFrame) -> DataFrame:
@@ -90,11 +100,19 @@ def orphan_references(references: DataFrame, objects: DataFrame, always: DataFra
     The pending set holds one row per OID and month, so the join back to the
     references may be skewed on one side only, which AQE splits.
     """
-    there = always.select("oid").where("oid is not null").distinct()
-    refs = references.join(there, "oid", "left_anti")
-    wait = pending(merge_ledgers(parent_ledger(objects), reference_ledger(refs)))
+    refs = waiting_for(references, always)
+    return orphans_of(refs, pending(merge_ledgers(parent_ledger(objects), reference_ledger(refs))))
+
+
+def waiting_for(references: DataFrame, always: DataFrame) -> DataFrame:
+    """The references to what is not present at all times."""
+    return references.join(always.select("oid").where("oid is not null").distinct(), "oid", "left_anti")
+
+
+def orphans_of(references: DataFrame, wait: DataFrame) -> DataFrame:
+    """The references among those pending, by name of their month, each once."""
     return (
-        refs.join(wait, ["oid", "month"], "left_semi")
+        references.join(wait, ["oid", "month"], "left_semi")
         .select("source_table", month_name(F.col("month")).alias("period"), "record_id", F.col("oid").alias("missing_oid"))
         .distinct()
     )

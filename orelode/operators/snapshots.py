@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHANGES = "stream_id bigint, snapshot_no int, path string, change string"
@@ -78,32 +78,39 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def snapshot_changes(snapshots: DataFrame, keys_per_bucket: int = 20_000) -> DataFrame:
-    """``(stream_id, snapshot_no, path, change)`` between consecutive delivered snapshots."""
+def value_hash() -> Column:
+    return F.xxhash64("blob_oid", F.col("blob_oid").isNull(), "mode", F.col("mode").isNull())
+
+
+def keyed(snapshots: DataFrame) -> DataFrame:
+    """``(stream_id, snapshot_no, path, value)``: each listed path of each snapshot, repetitions once."""
     rows = snapshots.where("stream_id is not null and snapshot_no is not null and path is not null")
-    value = F.xxhash64("blob_oid", F.col("blob_oid").isNull(), "mode", F.col("mode").isNull())
-    delivered = (
-        snapshots.where("stream_id is not null and snapshot_no is not null")
-        .groupBy("stream_id", "snapshot_no")
-        .agg(F.count("path").alias("n"))
-    )
+    return rows.select(F.col("stream_id").cast("bigint").alias("stream_id"), F.col("snapshot_no").cast("int").alias("snapshot_no"), "path", value_hash().alias("value")).distinct()
+
+
+def deliveries(snapshots: DataFrame) -> DataFrame:
+    """``(stream_id, snapshot_no, n)`` of every snapshot that came, those that list nothing too."""
+    came = snapshots.where("stream_id is not null and snapshot_no is not null")
+    return came.groupBy(F.col("stream_id").cast("bigint").alias("stream_id"), F.col("snapshot_no").cast("int").alias("snapshot_no")).agg(F.count("path").alias("n"))
+
+
+def probed(rows: DataFrame, delivered: DataFrame, keys_per_bucket: int = 20_000) -> DataFrame:
+    """Changes between consecutive snapshots of ``rows`` (as of :func:`keyed`) and ``delivered``."""
     buckets = delivered.groupBy("stream_id").agg(F.ceil(F.max("n") / keys_per_bucket).cast("int").alias("b"))
     buckets = buckets.select("stream_id", F.greatest("b", F.lit(1)).alias("n_buckets"))
-    spread = rows.select("stream_id", "snapshot_no", "path", value.alias("value")).distinct()
-    placed = spread.join(buckets, "stream_id").select(
+    placed = rows.join(buckets, "stream_id").select(
         "stream_id", F.pmod(F.xxhash64("path"), F.col("n_buckets")).cast("int").alias("bucket"), "snapshot_no", "path", "value"
     )
     # Every bucket must see that a snapshot came, even one that lists none of its paths.
     marks = delivered.join(buckets, "stream_id").select(
         "stream_id", F.explode(F.sequence(F.lit(0), F.col("n_buckets") - 1)).alias("bucket"), "snapshot_no", F.lit(None).cast("string").alias("path"), F.lit(None).cast("bigint").alias("value")
     )
-    return (
-        placed.unionByName(marks)
-        .select(F.col("stream_id").cast("bigint").alias("stream_id"), "bucket", F.col("snapshot_no").cast("int").alias("snapshot_no"), "path", "value")
-        .repartition("stream_id", "bucket")
-        .sortWithinPartitions("stream_id", "bucket", "snapshot_no")
-        .mapInArrow(_probe, CHANGES)
-    )
+    return placed.unionByName(marks).repartition("stream_id", "bucket").sortWithinPartitions("stream_id", "bucket", "snapshot_no").mapInArrow(_probe, CHANGES)
+
+
+def snapshot_changes(snapshots: DataFrame, keys_per_bucket: int = 20_000) -> DataFrame:
+    """``(stream_id, snapshot_no, path, change)`` between consecutive delivered snapshots."""
+    return probed(keyed(snapshots), deliveries(snapshots), keys_per_bucket)
 
 
 def change_values(changes: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -114,8 +121,6 @@ def change_values(changes: DataFrame, snapshots: DataFrame) -> DataFrame:
     """
     sets = snapshots.where("path is not null").groupBy("stream_id", "snapshot_no", "path").agg(F.min(F.struct("blob_oid", "mode")).alias("content"))
     heads = snapshots.groupBy("stream_id", "snapshot_no").agg(F.min("commit_sha").alias("observed_commit"), F.min("taken_at").alias("observed_at"))
-    from pyspark.sql import Window
-
     order = Window.partitionBy("stream_id").orderBy("snapshot_no")
     heads = heads.where("stream_id is not null and snapshot_no is not null").withColumn("last_no", F.lag("snapshot_no").over(order))
     c = changes.join(heads, ["stream_id", "snapshot_no"])

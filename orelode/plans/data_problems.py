@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orelode.operators import hierarchy, history, hot_keys, nested, orphans, snapshots
 from orelode.sources.tables import table
+from orelode.streaming.state import OrphanLedger, SnapshotIndex
 
 NO_BOUND = 2**31 - 1  # circles end each walk; the ceiling of levels is one of scans
 
@@ -64,9 +67,24 @@ def p2_tree_paths(spark: SparkSession, d: str) -> DataFrame:
     return history.expand_trees(roots, e, NO_BOUND).where("kind = 'tree'").select("root", "node", F.hex("path").alias("path_hex"), "depth")
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
+def _ledger(spark: SparkSession, d: str) -> tuple[DataFrame, OrphanLedger]:
+    """The references, and the ledger kept through two batches: references wait, then objects arrive and go."""
     refs = orphans.reference_rows(table(spark, d, "fx_tree_entry"), table(spark, d, "fx_ref"), table(spark, d, "fx_classification"))
-    return orphans.orphan_references(refs, table(spark, d, "fx_object"), table(spark, d, "fx_alternate"))
+    refs = orphans.waiting_for(refs, table(spark, d, "fx_alternate"))
+    ledger = OrphanLedger(spark, f"orphans-{uuid.uuid4().hex}", buckets=16)
+    ledger.advance(0, references=refs, count=False)
+    ledger.advance(1, objects=table(spark, d, "fx_object"))
+    return refs, ledger
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    refs, ledger = _ledger(spark, d)
+    return orphans.orphans_of(refs, ledger.pending())
+
+
+def p3_counts(spark: SparkSession, d: str) -> DataFrame:
+    """What waits per table and month after the last batch, as the ledger counted it."""
+    return _ledger(spark, d)[1].counts()
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +92,13 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return snapshots.snapshot_changes(table(spark, d, "fx_snapshot"))
+    """By two batches through the kept index: the lower half of the numbers, then the rest."""
+    s = table(spark, d, "fx_snapshot")
+    ends = s.agg(F.min("snapshot_no"), F.max("snapshot_no")).first()
+    middle = (ends[0] + ends[1]) // 2 if ends[0] is not None else 0
+    index = SnapshotIndex(spark, f"snapshots-{uuid.uuid4().hex}", buckets=16)
+    first = index.apply(s.where(F.col("snapshot_no") <= middle), 0)
+    return first.unionByName(index.apply(s.where(F.col("snapshot_no") > middle), 1))
 
 
 def p5_change_values(spark: SparkSession, d: str) -> DataFrame:
@@ -105,7 +129,7 @@ def p6_variants(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_key_counts, p1_blob_repo_counts, p1_occurrence_lists, p1_list_rows, p2_found, p2_commit_paths, p2_commit_descendants, p2_commit_descendant_index, p2_tree_descendants, p2_tree_paths, p3_found, p3_report, p5_found, p5_change_values, p6_found, p6_flat_tables, p6_variants)
+    for f in (p1_found, p1_key_counts, p1_blob_repo_counts, p1_occurrence_lists, p1_list_rows, p2_found, p2_commit_paths, p2_commit_descendants, p2_commit_descendant_index, p2_tree_descendants, p2_tree_paths, p3_found, p3_report, p3_counts, p5_found, p5_change_values, p6_found, p6_flat_tables, p6_variants)
 } | {f"p6_{t}s": _p6(t) for t in ("finding", "occurrence", "signal", "timeline")}
 
 _OCC = "(SELECT DISTINCT * FROM fx_occurrence)"
@@ -223,5 +247,6 @@ WITH o AS {_OCC}, k AS (SELECT 'blob' AS key_kind, blob_id AS key_value, * FROM
 SELECT key_kind, key_value, commit_timestamp, commit_sha, blob_id, path, commit_date, author, loaded_at FROM k WHERE key_value IS NOT NULL""",
     "p3_found": _P3 + "SELECT * FROM found",
     "p3_report": _P3 + "SELECT source_table, period, count(*) AS n_references, count(DISTINCT record_id) AS n_records, count(DISTINCT missing_oid) AS n_missing FROM found GROUP BY ALL",
+    "p3_counts": _P3.replace("), found AS", "), w AS (SELECT source_table, strftime(month, '%Y-%m') AS period, oid FROM cases), found AS") + "SELECT source_table, period, count(*) AS n_references, count(DISTINCT oid) AS n_missing FROM w GROUP BY ALL",
     "p5_found": _P5,
 }
