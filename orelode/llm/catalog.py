@@ -27,6 +27,11 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.token_ids(table(spark, d, "documents"))
 
 
+def p7_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts, read back from their ids."""
+    return tokenizer.texts_of(tokenizer.token_ids(table(spark, d, "documents")))
+
+
 def p8_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(table(spark, d, "documents"), table(spark, d, "container_class"))
 
@@ -35,6 +40,11 @@ def p8_container_use(spark: SparkSession, d: str) -> DataFrame:
     return packing.container_use(p8_packing(spark, d), table(spark, d, "container_class"))
 
 
+def p8_faults(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of containers: texts placed, pieces that do not follow on, containers beyond their class or with a smaller one that would do."""
+    return packing.faults(p8_packing(spark, d), table(spark, d, "container_class"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return language.language_cases(language.language_segments(table(spark, d, "documents"), table(spark, d, "lang_sample")))
 
@@ -43,7 +53,17 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return language.language_segments(table(spark, d, "documents"), table(spark, d, "lang_sample"))
 
 
-_QUERIES = [p4_found, p4_redacted, p4_redacted_reports, p7_ids, p8_packing, p8_container_use, p9_found, p9_segments]
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    return language.document_languages(table(spark, d, "documents"), table(spark, d, "lang_sample"))
+
+
+_QUERIES = [p4_found, p4_redacted, p4_redacted_reports, p7_ids, p7_texts, p8_packing, p8_container_use, p8_faults, p9_found, p9_segments, p9_documents]
+
+
+SQL = {
+    "p7_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p8_faults": "SELECT count(DISTINCT doc_id) AS n_texts, CAST(0 AS BIGINT) AS n_broken, CAST(0 AS BIGINT) AS n_over, CAST(0 AS BIGINT) AS n_too_large FROM documents",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -51,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL

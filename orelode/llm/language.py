@@ -14,8 +14,11 @@ machines bear out.  Everything else covers all texts whole.
 What counts as prose: headings of exports, trailers, diffs, quoted lines,
 machine-made subjects and bare placeholders are left out; a topic prefix, code
 names and quoted phrases inside a sentence do not count towards its language.
+An item of a list is a paragraph of its own; a line of dashes ends the message
+only if a diff or its summary comes below; a sentence too short to tell goes
+with the one before.
 
-Defined results: a text without prose has no segments; null, blank or unknown
+Defined results: a text without prose has no segments, and no language as a document; null, blank or unknown
 labels name no language; repeated deliveries of an id count once.
 """
 
@@ -83,13 +86,17 @@ def named_language(label: str | None) -> str | None:
 # ------------------------------------------------------------------- prose
 
 _UNSEEN = dict.fromkeys(map(ord, "​‌‍‎‏⁠﻿­᠎⁡⁢⁣⁤‪‫‬‭‮")) | {ord(c): " " for c in "               　\t\x0b\x0c"}
-_END = re.compile(r"^(?:diff --git |diff --cc |diff -|Binary files |GIT binary patch|@@ -|--- \S|\+\+\+ \S|---$|Index: |index [0-9a-f]{6,})")
+#: Where a diff begins, and what a line of dashes must have below it to end the message.
+_END = re.compile(r"^(?:diff --(?:git|cc|combined) \S|diff -[a-zA-Z]+ \S|Binary files \S+ and |GIT binary patch$|@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@|index [0-9a-f]{6,}\.\.[0-9a-f]{6,})")
+_BELOW = re.compile(r"^\s*(?:diff --git \S|\S.* \|\s+(?:\d+\b|Bin\b)|\d+ files? changed|@@ -\d)")
 _HEAD = re.compile(
     r"^(?:commit [0-9a-f]{7,64}|tree [0-9a-f]{40}$|parent [0-9a-f]{40}$|(?:author|committer|tagger) .*[<>].* \d+ [+-]\d{4}$|(?:Author|AuthorDate|Commit|CommitDate|Date|From|To|Cc|Merge|MIME-Version|Content-Type|Content-Transfer-Encoding|Message-Id|In-Reply-To|X-[A-Za-z-]+|gpgsig|encoding):? .*|From [0-9a-f]{40} .*|[0-9a-f]{7,40} \| .* \| .*)$"
 )
 _SUBJECT = re.compile(r"^Subject:\s*(?:\[[^\]]*\]\s*)*")
-_TRAILER = re.compile(r"^(?:[A-Z][A-Za-z]*(?:-[A-Za-z]+)+|Refs?|Bugs?|Fix(?:es)?|Closes?|Resolves|Issues?|Tickets?|Link|See|Related|References|Cc|JIRA|PR)\s*:\s*\S+|^\(cherry picked from commit |^\(backported from |^git-svn-id:|^Conflicts:|^#")
-_LOG = re.compile(r"^(?:>|\||\$ |\* |[-+] |\d+\. |at \S+ \(\S+:\d+\)|(?:WARN|ERROR|INFO|DEBUG)[: ]|(?:panic|error|Traceback[^:]*): )")
+_TRAILER = re.compile(r"^(?:[A-Z][A-Za-z]*(?:-[A-Za-z]+)+|Refs?|Bugs?|Fix(?:es)?|Closes?|Resolves|Issues?|Tickets?|Link|See|Related|References|Cc|JIRA|PR)\s*:\s*\S+|^\(cherry picked from commit |^\(backported from |^git-svn-id:|^Conflicts:|^# (?:Please enter|On branch|Changes |with \'#\'|Conflicts|\t)|^#$")
+#: An item of a list or a marked line: what follows the mark is a paragraph of its own.
+_ITEM = re.compile(r"^(?:[*+•–-]|\d{1,3}[.)]|#{1,6})\s+")
+_LOG = re.compile(r"^(?:>|\||\$ |at \S+ \(\S+:\d+\)|(?:WARN|ERROR|INFO|DEBUG)[: ]|(?:panic|error|Traceback[^:]*): )")
 _MACHINE = re.compile(
     r"^(?:Merge (?:branch|tag|remote-tracking|pull request|commit|request|changes?|\S+ (?:into|to|from) )|Merged? in |Revert \"|Reapply \"|Release v?\d|Bump (?:version|\S+ (?:from|to))|Update \S+ (?:to|from) v?\d|Upgrade \S+ (?:to|from) v?\d|(?:chore|build|ci|fix)\((?:deps|deps-dev|release|main)\)|(?:chore|build|ci)(?:\([^)]*\))?!?: (?:bump|release|update|upgrade)|version v?\d|v?\d+\.\d+(?:\.\d+)?\S*$|\[(?:ci skip|skip ci|bot|automated)\]|Automatic(?:ally)? |Auto-?(?:generated|merge|build)|Build #?\d|Pick |Cherry-?pick|\S+: v?\d+\.\d+|fixup! |squash! |amend! |Initial commit$|Update lockfile|Nightly build|Publish v?\d|Tag v?\d|\[maven-release-plugin\]|Prepare (?:release|for next)|Squashed commit of|This reverts commit|This reapplies commit|Sync(?:ed)? from )",
     re.I,
@@ -117,11 +124,19 @@ def sentences(text: str | None) -> list[str]:
             whole = _PREFIX.sub("", whole, count=1)
             found.extend(s for s in _STOP.split(whole) if s)
 
-    started = False
-    for line in re.split(r"\r\n|[\r\n\u0085  ]", text):
-        raw = line.rstrip()
+    machine = False
+    lines = [x.rstrip() for x in re.split(r"\r\n|[\r\n\u0085\u2028\u2029]", text)]
+    cut = next((i for i in range(len(lines) - 1, -1, -1) if _BELOW.match(lines[i])), -1)  # the last line of a diff or its summary
+    for i, raw in enumerate(lines):
         if _END.match(raw) or (raw.startswith("    ") and raw.lstrip().startswith("diff --git ")):
             break
+        if raw.startswith("--- ") and lines[i + 1 : i + 2] and lines[i + 1].startswith("+++ "):
+            break
+        if raw == "---":
+            if cut > i:
+                break
+            close()
+            continue
         s = raw.strip()
         if not s:
             close()
@@ -132,13 +147,22 @@ def sentences(text: str | None) -> list[str]:
             if not s:
                 continue
         elif not found and not paragraph and _HEAD.match(s):
+            machine = bool(_MACHINE.match(s))
             continue
         if not paragraph and _MACHINE.match(s):
             close()
+            machine = True
             continue
         if _TRAILER.match(s) or _LOG.match(s):
             close()
             continue
+        if m := _ITEM.match(s):
+            close()
+            if machine:  # a list that a machine made
+                continue
+            s = s[m.end() :]
+        else:
+            machine = False
         paragraph.append(s)
     close()
     return found
@@ -148,7 +172,7 @@ def words_of(sentence: str) -> list[str]:
     """The words that tell a sentence's language; none for a placeholder."""
     bare = _QUOTED.sub(" ", sentence)
     # Without spaces between words, signs and digits stand beside words rather than in code.
-    kept = " ".join(t for t in bare.split() if _CJK.search(t[:200]) or len(t) <= 60 and not _CODE.search(t))
+    kept = " ".join(t for t in bare.split() if _CJK.search(t[:200]) or (len(t) <= 60 or t.isalpha()) and not _CODE.search(t))
     words: list[str] = []
     for w in _WORD.findall(kept):
         if _CJK.search(w):
@@ -176,10 +200,11 @@ class Machines:
         for langs in FAMILIES.values():
             self.tasks += [(a, b, [a], [b]) for a, b in combinations(langs, 2)]
         self.weights = np.zeros((1 << BITS, len(self.tasks)), np.float32)
+        self.slope, self.shift = 2.0, 0.0
         self._memo: dict[str, np.ndarray] = {}
 
     def __getstate__(self) -> dict:
-        return {"tasks": self.tasks, "weights": self.weights, "_memo": {}}
+        return {"tasks": self.tasks, "weights": self.weights, "slope": self.slope, "shift": self.shift, "_memo": {}}
 
     def word(self, word: str) -> np.ndarray:
         s = self._memo.get(word)
@@ -191,6 +216,11 @@ class Machines:
 
     def decide(self, words: list[str]) -> tuple[str, float]:
         """Language and confidence of a sentence or segment."""
+        lang, margin = self.margin(words)
+        return lang, float(1 / (1 + np.exp(-max(-30.0, min(self.slope * margin + self.shift, 30.0)))))
+
+    def margin(self, words: list[str]) -> tuple[str, float]:
+        """Language and how far it is from the next."""
         total = sum(map(self.word, words)) / max(1, len(words)) ** 0.5
         score = {(a, b): float(x) for (a, b, *_), x in zip(self.tasks, total)}
 
@@ -210,7 +240,27 @@ class Machines:
 
         family, m1 = winner(list(FAMILIES))
         lang, m2 = winner(FAMILIES[family])
-        return lang, float(1 / (1 + np.exp(-2 * max(-20.0, min(m1, m2, 20.0)))))
+        return lang, min(m1, m2)
+
+    def calibrate(self, held_out: list[tuple[str, list[str]]]) -> "Machines":
+        """Slope and shift of the confidence, so that it is the share that is right among sentences not trained on."""
+        rows = [(m, got == lang) for lang, words in held_out if words for got, m in [self.margin(words)]]
+        right = sum(ok for _, ok in rows)
+        if right and right < len(rows):
+            x = np.array([m for m, _ in rows])
+            hi, lo = (right + 1) / (right + 2), 1 / (len(rows) - right + 2)  # never quite sure
+            y = np.array([hi if ok else lo for _, ok in rows])
+            a, b = 2.0, 0.0
+            for _ in range(50):  # Newton steps on the likelihood
+                p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+                w = p * (1 - p) + 1e-9
+                g = np.array([((y - p) * x).sum(), (y - p).sum()])
+                h = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-3]])
+                step = np.linalg.solve(h, g)
+                a, b = a + step[0], b + step[1]
+            if np.isfinite(a) and a > 0:
+                self.slope, self.shift = float(a), float(b)
+        return self
 
     def train(self, samples: list[tuple[str, list[str]]], epochs: int = 8, rate: float = 0.03, reg: float = 1e-5, seed: int = 7) -> "Machines":
         """Averaged stochastic subgradient on the hinge loss, all machines at once."""
@@ -245,7 +295,7 @@ def strip_marks(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)).replace("ł", "l").replace("ß", "ss").replace("ø", "o")
 
 
-def training_rows(samples: list[tuple[str, str]], seed: int = 3) -> list[tuple[str, list[str]]]:
+def training_rows(samples: list[tuple[str, str]], seed: int = 3, words: bool = True) -> list[tuple[str, list[str]]]:
     """Sentences, parts of them, the same without marks, with slips of typing, and draws of function words."""
     rng = np.random.default_rng(seed)
     rows: list[tuple[str, list[str]]] = []
@@ -258,17 +308,17 @@ def training_rows(samples: list[tuple[str, str]], seed: int = 3) -> list[tuple[s
 
     for lang, text in samples:
         for s in _STOP.split(text):
-            words = words_of(s)
-            rows.append((lang, words))
-            rows.append((lang, [slip(w) if rng.random() < 0.2 else w for w in words]))
+            said = words_of(s)
+            rows.append((lang, said))
+            rows.append((lang, [slip(w) if rng.random() < 0.2 else w for w in said]))
             for _ in range(2):
-                if len(words) > 4:
-                    a = int(rng.integers(0, len(words) - 3))
-                    rows.append((lang, words[a : a + int(rng.integers(3, 7))]))
-            bare = [strip_marks(w) if lang not in ("ja", "ru") else w for w in words]
-            if bare != words:
+                if len(said) > 4:
+                    a = int(rng.integers(0, len(said) - 3))
+                    rows.append((lang, said[a : a + int(rng.integers(3, 7))]))
+            bare = [strip_marks(w) if lang not in ("ja", "ru") else w for w in said]
+            if bare != said:
                 rows.append((lang, bare))
-    for lang, listed in FUNCTION_WORDS.items():
+    for lang, listed in FUNCTION_WORDS.items() if words else ():
         words = sum((words_of(w) or [w] for w in listed.split()), [])
         for _ in range(150):
             pick = [words[int(i)] for i in rng.integers(0, len(words), int(rng.integers(3, 9)))]
@@ -305,7 +355,7 @@ def labelled_sentences(rows: list[tuple[str | None, str | None]], machines: Mach
         rest = [w for w in parts if tuple(w) not in settled]
         if not rest or any(settled.get(tuple(w), lang) != lang for w in parts) or machines.decide(sum(parts, []))[0] != lang:
             continue
-        if not any(got != lang and sure > 0.62 for got, sure in map(machines.decide, rest)):
+        if not any(got != lang and margin > 0.245 for got, margin in map(machines.margin, rest)):
             found += ((lang, w) for w in rest)
     return found + [(lang, [strip_marks(x) for x in w]) for lang, w in found if lang not in ("ja", "ru")]
 
@@ -321,7 +371,13 @@ def trained(samples: DataFrame, documents: DataFrame | None = None, rows: int =
     kept = samples.where("lang is not null and text is not null").orderBy(order).limit(rows).select("lang", "text").collect()
     known = {x for f in FAMILIES.values() for x in f}
     base = training_rows([(r.lang, r.text) for r in kept if r.lang in known])
+    # The confidence is fitted on sentences that machines trained without them are asked about.
+    names = sorted({r.text for r in kept})
+    apart = {x for x in names if zlib.crc32(x.encode()) % 5 == 0}
+    part = Machines().train(training_rows([(r.lang, r.text) for r in kept if r.lang in known and r.text not in apart]), epochs=4)
+    part.calibrate(training_rows([(r.lang, r.text) for r in kept if r.lang in known and r.text in apart], words=False))
     first = Machines().train(base)
+    first.slope, first.shift = part.slope, part.shift
     if documents is None:
         return first
     n = documents.select("doc_id").count()
@@ -330,26 +386,44 @@ def trained(samples: DataFrame, documents: DataFrame | None = None, rows: int =
     share = min(1.0, sample_docs / n)
     drawn = documents.where(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1_000_000)) < share * 1_000_000).where("lang is not null and text is not null")
     more = labelled_sentences([(r.lang, r.text) for r in drawn.select("lang", "text").limit(2 * sample_docs).collect()], first)
-    return Machines().train(base + more)
+    last = Machines().train(base + more)
+    last.slope, last.shift = part.slope, part.shift
+    return last
 
 
 # ---------------------------------------------------------------- segments
 
 
-def segments(text: str | None, machines: Machines) -> list[tuple[str, float, int, str]]:
-    """(language, confidence, sentences, beginning) of each maximal run of one language."""
+def segments(text: str | None, machines: Machines) -> list[tuple[str, float, int, str, int]]:
+    """(language, confidence, sentences, beginning, letters) of each maximal run of one language."""
     runs: list[list] = []
     for s in sentences(text):
         words = words_of(s)
         letters = sum(map(len, words))
         if not words or (len(words) < 2 and not _CJK.search(s)) or letters < 4:
+            if runs:
+                runs[-1][3] += 1  # too short to tell: goes with what it follows
             continue
         lang, conf = machines.decide(words)
         if runs and runs[-1][0] == lang:
-            runs[-1][1].append(conf)
+            runs[-1][1].append((conf, letters))
+            runs[-1][3] += 1
         else:
-            runs.append([lang, [conf], s])
-    return [(lang, float(np.mean(c)), len(c), s[:80]) for lang, c, s in runs]
+            runs.append([lang, [(conf, letters)], s, 1])
+    return [(lang, sum(c * n for c, n in cs) / sum(n for _, n in cs), count, s[:80], sum(n for _, n in cs)) for lang, cs, s, count in runs]
+
+
+def document_language(found: list[tuple[str, float, int, str, int]]) -> tuple[str | None, float]:
+    """(language, confidence) of a whole text: the one with most letters, surer the larger its part; null, 0 for no prose."""
+    part: dict[str, list[float]] = {}
+    for lang, conf, _, _, letters in found:
+        x = part.setdefault(lang, [0.0, 0.0])
+        x[0] += letters
+        x[1] += letters * conf
+    if not part:
+        return None, 0.0
+    best = max(part, key=lambda k: (part[k][0], k))
+    return best, part[best][1] / sum(n for n, _ in part.values())
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("seg_no", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("sentences", pa.int32()), ("label_lang", pa.string()), ("n_segments", pa.int32()), ("excerpt", pa.string())])
@@ -362,11 +436,31 @@ def _segment_batches(batches: Iterable[pa.RecordBatch], model) -> Iterator[pa.Re
         for doc, text, label in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
             found = segments(text.as_py(), machines)
             named = named_language(label)
-            out += ((doc, i, lang, conf, n, named, len(found), s) for i, (lang, conf, n, s) in enumerate(found))
+            out += ((doc, i, lang, conf, n, named, len(found), s) for i, (lang, conf, n, s, _) in enumerate(found))
         if out:
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), _SCHEMA)], schema=_SCHEMA)
 
 
+_DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("confidence", pa.float64()), ("n_segments", pa.int32()), ("label_lang", pa.string())])
+
+
+def _document_batches(batches: Iterable[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    machines = model.value
+    for b in batches:
+        out = []
+        for doc, text, label in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+            found = segments(text.as_py(), machines)
+            out.append((doc, *document_language(found), len(found), named_language(label)))
+        if out:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), _DOCUMENTS)], schema=_DOCUMENTS)
+
+
+def document_languages(documents: DataFrame, samples: DataFrame) -> DataFrame:
+    """``(doc_id, lang, confidence, n_segments, label_lang)`` of every text, those without prose too; a row per delivery."""
+    model = documents.sparkSession.sparkContext.broadcast(trained(samples, documents))
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang").mapInArrow(lambda it: _document_batches(it, model), "doc_id bigint, lang string, confidence double, n_segments int, label_lang string")
+
+
 def language_segments(documents: DataFrame, samples: DataFrame) -> DataFrame:
     """A row per segment of every text, with the language its label names."""
     spark = documents.sparkSession

@@ -1,23 +1,25 @@
 """Filling fixed-capacity containers with texts.
 
-Method: lexical retrieval packing.  Texts are cut into index shards of
-``SHARD_DOCS`` neighbours in (repository, id); each shard is a BM25 inverted
-index over token ids, weighted by statistics of the whole corpus.  A seed, the
-largest text not yet placed, queries the index; its unused neighbours fill the
-seed's window best first, each if it fits; what space is left goes to the
-largest unused text that fits.  A window then takes the smallest container
-class that holds it.  Neighbours in other shards are not retrieved (the README
-has the recall this gives).
+Method: lexical retrieval packing.  Texts are cut into index shards of about
+``SHARD_DOCS`` by a hash of their id; each shard is a BM25 inverted index over
+token ids, weighted by statistics of the whole corpus.  A seed, the largest
+text not yet placed, queries the index; its unused neighbours fill the seed's
+window best first, each if it fits, until none fits.  A window then takes the
+smallest container class that holds it.  Neighbours in other shards are not
+retrieved (the README has the recall this gives).
 
 The statistics are a vector over the vocabulary, whose size is fixed, so they
 may be sent to every task.  Shards are packed one after another within a task;
-memory is bounded by a shard.  Very frequent terms (in over a quarter of all
+memory is bounded by a shard.  Which shard a text is in, and so the result,
+depends on the data alone, not on the number of tasks.  Very frequent terms (in over a quarter of all
 texts), which are few, are kept as dense columns beside the inverted index.
 
 Defined results: a text longer than the largest class is split into full
 containers, its rest is an item like others; texts without tokens (null,
-empty) lie at the end of some container of their shard; repeated deliveries of
-one id count once; without any class every text has a null container.
+empty) lie at the end of some container of their shard; of the deliveries of
+one id the first by repository (null before all) and then by hash of the text
+counts, each text without an id by itself; without any class every text has a
+null container.
 """
 
 from __future__ import annotations
@@ -29,23 +31,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orelode.llm.tokenizer import VOCABULARY, encoder
+from orelode.llm.tokenizer import VOCABULARY, encoder_of, shipped
 from orelode.session import materialize, parallelism
 
 SHARD_DOCS = 2_000
 K1, B = 1.2, 0.75
-VECTORS = "repo_id string, doc_id bigint, n_tokens bigint, terms array<int>, tfs array<int>"
+VECTORS = "repo_id string, doc_id bigint, digest bigint, n_tokens bigint, terms array<int>, tfs array<int>"
 PLACED = "doc_id bigint, piece int, token_start bigint, n_tokens bigint, container_id string, class_id int, pos int"
 _PLACED = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("token_start", pa.int64()), ("n_tokens", pa.int64()), ("container_id", pa.string()), ("class_id", pa.int32()), ("pos", pa.int32())])
 
 
-def _vectors(batches: Iterable[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
-    e = encoder(vocabulary)
+def _vectors(batches: Iterable[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
+    e = encoder_of(vocabulary.value)
     for batch in batches:
         for at in range(0, batch.num_rows, 1_000):
             part = batch.slice(at, 1_000)
             sizes, terms, tfs, ends = [], [], [], [0]
-            for text in part.column(2):
+            for text in part.column(3):
                 ids = np.array(e.encode(text.as_py()), np.int32)
                 u, c = np.unique(ids, return_counts=True)
                 sizes.append(len(ids))
@@ -54,12 +56,13 @@ def _vectors(batches: Iterable[pa.RecordBatch], vocabulary: str) -> Iterator[pa.
                 ends.append(ends[-1] + len(u))
             off = pa.array(ends, pa.int32())
             lists = [pa.ListArray.from_arrays(off, pa.array(np.concatenate(x).astype(np.int32))) for x in (terms, tfs)]
-            yield pa.record_batch([part.column(0), part.column(1), pa.array(sizes, pa.int64()), *lists], names=["repo_id", "doc_id", "n_tokens", "terms", "tfs"])
+            yield pa.record_batch([part.column(0), part.column(1), part.column(2), pa.array(sizes, pa.int64()), *lists], names=["repo_id", "doc_id", "digest", "n_tokens", "terms", "tfs"])
 
 
 def term_vectors(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Token counts of each text, whole."""
-    return documents.select("repo_id", F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(lambda it: _vectors(it, vocabulary), VECTORS)
+    file = shipped(documents.sparkSession, vocabulary)
+    return documents.select("repo_id", F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("digest"), "text").mapInArrow(lambda it: _vectors(it, file), VECTORS)
 
 
 def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +134,6 @@ def fill(sizes: np.ndarray, capacity: int, scores) -> list[list[int]]:
     free[sizes == 0] = False
     windows = []
     seeds = np.argsort(-sizes, kind="stable")
-    ascending = seeds[::-1]
     for seed in seeds:
         if not free[seed]:
             continue
@@ -152,16 +154,6 @@ def fill(sizes: np.ndarray, capacity: int, scores) -> list[list[int]]:
                 free[ranked[:k]] = False
                 room -= int(ends[k - 1])
                 ranked = ranked[k:]
-            if room:
-                # The last neighbour gives way to the largest text that fits in its stead.
-                last = window[-1] if len(window) > 1 else None
-                if last is not None:
-                    pool = ascending[free[ascending]]
-                    k = int(np.searchsorted(sizes[pool], room + int(sizes[last]), "right")) - 1
-                    if k >= 0 and sizes[pool[k]] > sizes[last]:
-                        window[-1] = int(pool[k])
-                        free[pool[k]] = False
-                        free[last] = True
         windows.append(window)
     return windows
 
@@ -202,8 +194,8 @@ def pack_shard(rows: list[tuple], classes: list[tuple[int, int]], df: np.ndarray
 
 def _pack(batches: Iterable[pa.RecordBatch], classes, stats) -> Iterator[pa.RecordBatch]:
     df, n, mean = stats.value
-    seen: set[int] = set()
     rows: list[tuple] = []
+    now = last = None
 
     def done() -> pa.RecordBatch:
         out = list(zip(*pack_shard(rows, classes, df, n, mean)))
@@ -211,17 +203,17 @@ def _pack(batches: Iterable[pa.RecordBatch], classes, stats) -> Iterator[pa.Reco
         return pa.record_batch([pa.array(c, f.type) for c, f in zip(out, _PLACED)], schema=_PLACED)
 
     for b in batches:
-        terms, tfs = b.column(2), b.column(3)
+        terms, tfs = b.column(3), b.column(4)
         flat_t, flat_f = terms.values.to_numpy(), tfs.values.to_numpy()
         ot, of = terms.offsets.to_numpy(), tfs.offsets.to_numpy()
-        for i, (doc, size) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-            if doc is not None:
-                if doc in seen:
-                    continue
-                seen.add(doc)
-            rows.append((doc, size, flat_t[ot[i] : ot[i + 1]], flat_f[of[i] : of[i + 1]]))
-            if len(rows) >= SHARD_DOCS:
-                yield done()
+        for i, (shard, doc, size) in enumerate(zip(*(b.column(k).to_pylist() for k in range(3)))):
+            if shard != now:
+                if rows:
+                    yield done()
+                now, last = shard, None
+            if doc is None or doc != last:  # deliveries of one id follow each other
+                rows.append((doc, size, flat_t[ot[i] : ot[i + 1]], flat_f[of[i] : of[i + 1]]))
+            last = doc
     if rows:
         yield done()
 
@@ -240,9 +232,11 @@ def packed(documents: DataFrame, classes: DataFrame, vocabulary: str = VOCABULAR
     vectors = materialize(term_vectors(documents, vocabulary), "term-vectors")
     stats = spark.sparkContext.broadcast(corpus_statistics(vectors))  # one number per vocabulary entry
     kinds = container_classes(classes)
-    # Equal ids lie in one range, so repeated deliveries meet.
-    ranged = vectors.repartitionByRange(parallelism(spark), "repo_id", "doc_id").sortWithinPartitions("repo_id", "doc_id")
-    return ranged.select("doc_id", "n_tokens", "terms", "tfs").mapInArrow(lambda it: _pack(it, kinds, stats), PLACED)
+    shards = max(1, -(-stats.value[1] // SHARD_DOCS))
+    tasks = min(shards, max(2 * parallelism(spark), shards // 8))
+    shard = F.pmod(F.xxhash64(F.coalesce("doc_id", "digest")), F.lit(shards)).cast("int")
+    placed = vectors.withColumn("shard", shard).repartitionByRange(tasks, "shard").sortWithinPartitions("shard", "doc_id", "repo_id", "digest")
+    return placed.select("shard", "doc_id", "n_tokens", "terms", "tfs").mapInArrow(lambda it: _pack(it, kinds, stats), PLACED)
 
 
 def container_use(placed: DataFrame, classes: DataFrame) -> DataFrame:
@@ -253,3 +247,14 @@ def container_use(placed: DataFrame, classes: DataFrame) -> DataFrame:
         .groupBy("class_id")
         .agg(F.count(F.lit(1)).alias("n_containers"), F.sum("used").alias("tokens"), (F.sum("capacity_tokens") - F.sum("used")).alias("unused"))
     )
+
+
+def faults(placed: DataFrame, classes: DataFrame) -> DataFrame:
+    """One row: texts placed; those whose pieces overlap or leave gaps; containers over their capacity; containers that a smaller class would hold."""
+    of_text = placed.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("piece").alias("k"), F.max("piece").alias("last"), F.max(F.col("token_start") + F.col("n_tokens")).alias("end"), F.sum("n_tokens").alias("size"))
+    texts = of_text.agg(F.count(F.lit(1)).alias("n_texts"), F.count_if(F.expr("n <> k or k <> last + 1 or end <> size")).alias("n_broken"))
+    one = placed.where("container_id is not null").groupBy("container_id", "class_id").agg(F.sum("n_tokens").alias("used"))
+    kinds = classes.where("capacity_tokens > 0 and class_id is not null").select("class_id", F.col("capacity_tokens").alias("capacity"))  # a fixed table
+    below = one.join(F.broadcast(kinds), "class_id").crossJoin(F.broadcast(kinds.groupBy().agg(F.collect_list("capacity").alias("all"))))
+    of_container = below.agg(F.count_if(F.expr("used > capacity")).alias("n_over"), F.count_if(F.expr("exists(all, c -> c < capacity and c >= used)")).alias("n_too_large"))
+    return texts.crossJoin(of_container)  # one row each

@@ -25,7 +25,8 @@ from itertools import chain
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public pre-tokenizer of this vocabulary (fixed values).
@@ -37,9 +38,8 @@ LONG_WORD = 200
 CACHED_WORDS = 200_000
 
 
-def load_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+def load_ranks(raw: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
 
 
 def merge_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -92,9 +92,9 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Encoder(dict):
     """Word to ids; a mapping that fills itself."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, vocabulary: bytes) -> None:
         super().__init__()
-        self.ranks = load_ranks(path)
+        self.ranks = load_ranks(vocabulary)
 
     def __missing__(self, word: str) -> list[int]:
         raw = word.encode()
@@ -114,12 +114,24 @@ class Encoder(dict):
 
 
 @lru_cache(maxsize=2)
+def encoder_of(vocabulary: bytes) -> Encoder:
+    """One encoder per process and vocabulary."""
+    return Encoder(vocabulary)
+
+
 def encoder(path: str = VOCABULARY) -> Encoder:
-    return Encoder(path)
+    with open(path, "rb") as f:
+        return encoder_of(f.read())
+
+
+def shipped(spark: SparkSession, path: str) -> Broadcast:
+    """The vocabulary's file, read on the driver alone and sent to all; its size is fixed."""
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
 
 
-def encode_batches(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    e = encoder(path)
+def encode_batches(batches: Iterable[pa.RecordBatch], vocabulary: Broadcast) -> Iterator[pa.RecordBatch]:
+    e = encoder_of(vocabulary.value)
     for b in batches:
         # Very long texts: slices keep a batch's ids far below an Arrow list's limit.
         for i in range(0, b.num_rows, 500):
@@ -130,4 +142,20 @@ def encode_batches(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.
 
 def token_ids(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``(doc_id, ids)`` of every row of ``documents``; no shuffle."""
-    return documents.select("doc_id", "text").mapInArrow(lambda it: encode_batches(it, vocabulary), "doc_id bigint, ids array<int>")
+    file = shipped(documents.sparkSession, vocabulary)
+    return documents.select("doc_id", "text").mapInArrow(lambda it: encode_batches(it, file), "doc_id bigint, ids array<int>")
+
+
+def decode_batches(batches: Iterable[pa.RecordBatch], vocabulary: Broadcast) -> Iterator[pa.RecordBatch]:
+    words = {i: w for w, i in encoder_of(vocabulary.value).ranks.items()}
+    for b in batches:
+        for i in range(0, b.num_rows, 500):
+            part = b.slice(i, 500)
+            texts = [b"".join(map(words.__getitem__, ids.as_py())).decode() if ids.is_valid else None for ids in part.column(1)]
+            yield pa.record_batch([part.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+
+def texts_of(ids: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``(doc_id, text)`` of what :func:`token_ids` gave: the inverse, null texts apart, which are empty."""
+    file = shipped(ids.sparkSession, vocabulary)
+    return ids.select("doc_id", "ids").mapInArrow(lambda it: decode_batches(it, file), "doc_id bigint, text string")

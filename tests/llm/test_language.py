@@ -67,7 +67,7 @@ def test_prose():
 
 def test_segments(machines):
     def run(text):
-        return [(lang, n) for lang, _, n, _ in L.segments(text, machines)]
+        return [(lang, n) for lang, _, n, *_ in L.segments(text, machines)]
 
     assert run(HEAD + f"    {TRUE['en']} {TRUE['en']} {TRUE['de']}\n\n    {TRUE['en']}\n") == [("en", 2), ("de", 1), ("en", 1)]
     assert run("Ersetzt \"the lock around the counter\" (loadFile), weil unter Last einzelne Zeilen verloren gingen.") == [("de", 1)]
@@ -87,3 +87,41 @@ def test_operator(spark, samples):
 def test_long_words_are_linear(machines):
     for t in ("a" * 200_000, "aB" * 100_000, "(" * 100_000, '"a ' * 50_000, "a.b" * 50_000, "A" * 100_000 + "!"):
         assert isinstance(L.segments(t, machines), list)
+
+
+def test_prose_of_all_kinds():
+    assert L.sentences("Erster Satz hier.\n\n---\n\nZweiter Absatz mit Worten.") == ["Erster Satz hier.", "Zweiter Absatz mit Worten."]  # dashes without a diff below
+    assert L.sentences("One line here.\n---\n a.py | 3 +-\n 1 file changed") == ["One line here."]
+    assert L.sentences("One line here.\n@@ -starting from now on\nindex cards are nice\n--- more of it") == ["One line here.", "@@ -starting from now on index cards are nice --- more of it"]
+    assert L.sentences("One.\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n-y") == ["One."] == L.sentences("One.\nindex 1234567..89abcde 100644\n+z")
+    items = "Liste:\n\n- corrige le lecteur des journaux\n* déplace la boucle de test\n1. ajoute une option pour les tests\n# un titre avec des mots\n# Please enter the commit message\n> error: not ours"
+    assert L.sentences(items) == ["Liste:", "corrige le lecteur des journaux", "déplace la boucle de test", "ajoute une option pour les tests", "un titre avec des mots"]
+    assert L.words_of("donau" * 20 + " ist lang") == ["donau" * 20, "ist", "lang"]
+
+
+def test_short_sentences_go_with_the_one_before(machines):
+    found = L.segments(TRUE["fr"] + "\n\nMerci.\n\n" + TRUE["en"] + "\n\nOk.", machines)
+    assert [(x[0], x[2]) for x in found] == [("fr", 2), ("en", 2)]
+
+
+def test_documents(spark, samples, machines):
+    rows = [(1, TRUE["fr"], "en"), (2, TRUE["fr"] + "\n\n" + TRUE["fr"].replace("recherche", "lecture") + "\n\n" + TRUE["en"], None), (3, None, "de"), (4, "", ""), (5, "wip", "pl"), (1, TRUE["fr"], "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").selectExpr("*", "'x' AS n_segments")
+    got = {r.doc_id: r for r in L.document_languages(docs, samples).collect()}
+    assert [(k, got[k].lang, got[k].n_segments, got[k].label_lang) for k in sorted(got)] == [(1, "fr", 1, "en"), (2, "fr", 2, None), (3, None, 0, "de"), (4, None, 0, None), (5, None, 0, "pl")]
+    assert got[1].confidence > got[2].confidence > 0.5 and got[3].confidence == 0
+    assert L.document_languages(docs.limit(0), samples).count() == 0
+
+
+def test_confidence_is_the_share_that_is_right(samples):
+    """Sentences of which neither the machines nor the calibration have seen any."""
+    rows = sorted({(r.lang, r.text) for r in samples.select("lang", "text").collect()})
+    random.Random(4).shuffle(rows)
+    cut = len(rows) // 4  # few, so that some go wrong
+    m = L.Machines().train(L.training_rows(rows[:cut], words=False), epochs=4).calibrate(L.training_rows(rows[cut : 2 * cut], words=False))
+    got = [(*m.decide(w), lang) for lang, w in L.training_rows(rows[2 * cut :], words=False) if w]
+    told = sum(c for _, c, _ in got) / len(got)
+    right = sum(a == b for a, _, b in got) / len(got)
+    assert abs(told - right) < 0.02, (told, right)
+    unsure = [(c, a == b) for a, c, b in got if c < 0.9]
+    assert len(unsure) > 20 and abs(sum(c for c, _ in unsure) - sum(ok for _, ok in unsure)) / len(unsure) < 0.15

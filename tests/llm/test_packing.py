@@ -102,3 +102,20 @@ def test_no_rows_no_classes(spark):
     none = spark.createDataFrame([], "class_id int, label string, capacity_tokens int")
     assert [tuple(r) for r in packing.packed(docs, none).collect()] == [(1, 0, 0, 2, None, None, None)]
     assert packing.packed(docs.limit(0), none).count() == 0
+
+
+def test_repeats_and_tasks(spark, monkeypatch):
+    """One id under several repositories is placed once; the result does not depend on the number of tasks."""
+    monkeypatch.setattr(packing, "SHARD_DOCS", 5)
+    rows = [(repo, i, f"text number {i} of many", "x") for i in range(30) for repo in ("r1", "r2", None)] + [("r0", 3, "another text under the same id", "x"), (None, None, "no id", "x"), (None, None, "no id at all", "x")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    classes = spark.createDataFrame([(1, "small", 16), (2, "large", 64)], "class_id int, label string, capacity_tokens int")
+    got = sorted((tuple(r) for r in packing.packed(docs, classes).collect()), key=str)
+    assert len(got) == 32 and len({r[0] for r in got}) == 31
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert sorted((tuple(r) for r in packing.packed(docs.repartition(7), classes).collect()), key=str) == got
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert tuple(packing.faults(packing.packed(docs, classes), classes).first()) == (30, 0, 0, 0)

@@ -43,7 +43,7 @@ def test_both_merges():
 
 def test_memory_of_words_is_bounded(monkeypatch, reference):
     monkeypatch.setattr(tokenizer, "CACHED_WORDS", 3)
-    e = tokenizer.Encoder(tokenizer.VOCABULARY)
+    e = tokenizer.Encoder(open(tokenizer.VOCABULARY, "rb").read())
     text = "one two three four five six seven"
     assert e.encode(text) == reference.encode_ordinary(text) and len(e) <= 4
 
@@ -54,3 +54,10 @@ def test_operator(spark, reference):
     got = sorted(((r.doc_id, r.ids) for r in tokenizer.token_ids(df).collect()), key=str)
     assert got == sorted(((d, reference.encode_ordinary(t or "")) for d, t, _ in rows), key=str)
     assert tokenizer.token_ids(df.limit(0)).count() == 0
+
+
+def test_round_trip_of_texts(spark):
+    rows = [(1, "é 日本\u200b\r\n\t x"), (1, "é 日本\u200b\r\n\t x"), (2, None), (3, ""), (4, "a" * 5_000), (None, "<|endoftext|>")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'x' AS ids")
+    got = sorted((tuple(r) for r in tokenizer.texts_of(tokenizer.token_ids(docs)).collect()), key=str)
+    assert got == sorted(((d, t or "") for d, t in rows), key=str)
