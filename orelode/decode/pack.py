@@ -229,10 +229,10 @@ def resolve_entries(entries: Iterable[PackEntry], max_depth: int = MAX_DELTA_DEP
     return result
 
 
-def parse_pack(data: bytes, path: str, max_object: int = MAX_OBJECT_BYTES, max_depth: int = MAX_DELTA_DEPTH) -> PackResult:
+def parse_pack(data: bytes, path: str, max_object: int = MAX_OBJECT_BYTES, max_depth: int = MAX_DELTA_DEPTH, max_pack: int = MAX_PACK_BYTES) -> PackResult:
     """All that one pack holds.  Faults of the frame end the reading, faults of an entry do not."""
-    if len(data) > MAX_PACK_BYTES:
-        said = f"pack file size ({len(data)} bytes) exceeds safety ceiling ({MAX_PACK_BYTES} bytes)"
+    if len(data) > max_pack:
+        said = f"pack file size ({len(data)} bytes) exceeds safety ceiling ({max_pack} bytes)"
         return PackResult(gaps=[("packTooLarge", path, said)], anomalies=[("PACK_TOO_LARGE", path, said)])
     if len(data) < 32 or data[:4] != b"PACK":
         return PackResult(error="NotAPackFile")

@@ -80,9 +80,9 @@ def keywords_near(payload: bytes, start: int, end: int, reach: int = CONTEXT_BYT
     return list(dict.fromkeys(m.decode().lower() for m in _CONTEXT.findall(window)))
 
 
-def scan_blob(payload: bytes, patterns: tuple[Pattern, ...] = PATTERNS) -> Iterator[tuple]:
+def scan_blob(payload: bytes, patterns: tuple[Pattern, ...] = PATTERNS, most: int = MAX_BLOB_SCANNED) -> Iterator[tuple]:
     """All matches, pattern by pattern; nothing for payloads beyond the ceiling."""
-    if not payload or len(payload) > MAX_BLOB_SCANNED:
+    if not payload or len(payload) > most:
         return
     binary = is_binary(payload)
     line, counted = 1, 0
@@ -107,17 +107,17 @@ def _compiled(patterns: tuple[Pattern, ...]) -> list[re.Pattern]:
     return _CACHE[patterns]
 
 
-def _scan(batches: Iterable[pa.RecordBatch], patterns: tuple[Pattern, ...]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterable[pa.RecordBatch], patterns: tuple[Pattern, ...], most: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(key, *f) for key, payload in zip(b.column(0).to_pylist(), b.column(1)) for f in scan_blob(payload.as_py() or b"", patterns)]
+        rows = [(key, *f) for key, payload in zip(b.column(0).to_pylist(), b.column(1)) for f in scan_blob(payload.as_py() or b"", patterns, most)]
         if rows:
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
 
 
-def candidates(blobs: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS) -> DataFrame:
+def candidates(blobs: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS, most: int = MAX_BLOB_SCANNED) -> DataFrame:
     """Candidates in ``blobs(blob_id, payload)``; oversize payloads are passed over before they are sent to Python."""
-    fit = blobs.select(F.col("blob_id").cast("string").alias("blob_id"), F.col("payload").cast("binary").alias("payload")).where(F.octet_length("payload") <= MAX_BLOB_SCANNED)
-    return fit.mapInArrow(lambda it: _scan(it, patterns), CANDIDATES)
+    fit = blobs.select(F.col("blob_id").cast("string").alias("blob_id"), F.col("payload").cast("binary").alias("payload")).where(F.octet_length("payload") <= most)
+    return fit.mapInArrow(lambda it: _scan(it, patterns, most), CANDIDATES)
 
 
 def latin1(payload: Column) -> Column:

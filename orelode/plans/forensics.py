@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from orelode.decode.tree import KNOWN_MODES
 from orelode.operators import detect, findings, graph, history
+from orelode.session import materialize
 from orelode.sources.tables import table
 
 # ------------------------------------------------------------------ inputs
@@ -214,7 +215,7 @@ def summary_by_state(spark, d):
 
 
 def summary_counts(spark, d):
-    states = _states(spark, d)
+    states = materialize(_states(spark, d), "states")
     return findings.summary(findings.scored(_store_candidates(spark, d), states, _path_scores(spark, d)), states, "high")
 
 
@@ -228,7 +229,7 @@ def min_confidence_filter(spark, d):
 
 def explain_lookup(spark, d):
     """The first finding by order, looked up by its id."""
-    f = _store_findings(spark, d)
+    f = materialize(_store_findings(spark, d), "findings")
     first = findings.ordered(f).limit(1).select("id").collect()  # one row
     return findings.explain(f, first[0].id if first else "0" * 16).select("id", "full_digest", "exposure_state", "recovery_explanation")
 

@@ -8,11 +8,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelode.limits import MAX_BLOB_SCANNED, MAX_PEEL_DEPTH, MAX_TOTAL_OBJECTS
+from orelode.limits import MAX_PEEL_DEPTH, Limits
 from orelode.operators import detect, findings, graph, history
 from orelode.session import materialize
 from orelode.sources import objects as store
-from orelode.sources.repository import RefError, Repository, all_refs, discover, resolve_head
+from orelode.sources.repository import RefError, Repository, RepositoryNotFound, all_refs, discover, resolve_head
 
 
 @dataclass
@@ -36,7 +36,7 @@ class ScanResult:
 
     def register(self) -> None:
         """Make the stages SQL views."""
-        for name in ("objects", "reach", "states", "unresolved", "occurrences", "findings", "gaps", "anomalies"):
+        for name in TABLES:
             getattr(self, name).createOrReplaceTempView(name)
 
 
@@ -63,7 +63,7 @@ def _note(df: DataFrame, kind: str, location, description) -> DataFrame:
     return df.select(F.lit(kind).alias("type"), location.alias("location"), description.alias("description"))
 
 
-def run_scan(spark: SparkSession, path: str, min_confidence: str = "LOW") -> ScanResult:
+def run_scan(spark: SparkSession, path: str, min_confidence: str = "LOW", limits: Limits = Limits()) -> ScanResult:
     started = time.time()
     minimum = detect.parse_tier(min_confidence)
     repo = discover(path)
@@ -77,9 +77,8 @@ def run_scan(spark: SparkSession, path: str, min_confidence: str = "LOW") -> Sca
     notes += refs.anomalies
 
     where = f"{repo.common_dir}/objects"
-    loose = materialize(store.loose_objects(spark, where), "loose")
-    packed = materialize(store.packed_objects(spark, store.pack_files(where)), "packed")
-    objects = materialize(store.combined(loose, packed), "objects")
+    stored = store.ObjectStore(spark, where, limits=limits)
+    loose, packed, objects = stored.loose, stored.packed, stored.objects
     sound = objects.where("error is null")
     meta = sound.select("oid", "type", "size", "integrity_mismatch", "computed_oid")
     commits = materialize(store.parsed_commits(sound), "commits")
@@ -150,11 +149,11 @@ def run_scan(spark: SparkSession, path: str, min_confidence: str = "LOW") -> Sca
     ]
     # Histories: each root tree is expanded once.
     known = good.join(visited.where("kind = 'c'").select("oid"), "oid").select(F.col("oid").alias("commit_sha"), "tree", "author", "timestamp")
-    paths, deep = history.tree_paths(known.select(F.col("tree").alias("node")).distinct(), e.select(F.col("tree_oid").alias("node"), F.col("child_oid").alias("child"), "name", "mode", F.lit("").alias("part"), F.lit(0).alias("pos")))
+    paths, deep = history.tree_paths(known.select(F.col("tree").alias("node")).distinct(), e.select(F.col("tree_oid").alias("node"), F.col("child_oid").alias("child"), "name", "mode", F.lit("").alias("part"), F.lit(0).alias("pos")), limits.tree_depth)
     occurrences = materialize(history.occurrences(paths, known).withColumn("path", history.text("path")), "occurrences")
-    deep_note = F.format_string("tree %s exceeds maximum history traversal depth of 1000", "node")
+    deep_note = F.format_string(f"tree %s exceeds maximum history traversal depth of {limits.tree_depth}", "node")
     found.append(_note(deep, "RECURSION_DEPTH_EXCEEDED", F.col("node"), deep_note))
-    if visited.count() > MAX_TOTAL_OBJECTS:
+    if visited.count() > limits.total_objects:
         found.append(_notes(spark, [("RECURSION_DEPTH_EXCEEDED", head, "total object traversal safety ceiling reached")]))
     anomalies = found[0]
     for x in found[1:]:
@@ -162,13 +161,13 @@ def run_scan(spark: SparkSession, path: str, min_confidence: str = "LOW") -> Sca
     anomalies = materialize(anomalies.distinct(), "anomalies")
     unresolved = anomalies.where("type = 'MISSING_REFERENCED_OBJECT'").where(F.col("location").rlike(r"\A[0-9a-f]{40}\z")).select(F.col("location").alias("oid")).distinct()
 
-    # Findings: payloads meet the list of blobs, never the graph.
-    blobs = sound.select(F.col("oid").alias("blob_id"), "payload").join(states.select(F.col("oid").alias("blob_id")), "blob_id", "left_semi")
+    # Findings: payloads are searched where they lie; candidates, which are few, meet states, paths and occurrences.
     scores = occurrences.groupBy(F.col("blob_id").alias("oid")).agg(detect.path_score_of_all(F.col("path")).alias("path_score"))
+    found_in = materialize(detect.candidates(sound.select(F.col("oid").alias("blob_id"), "payload"), most=limits.blob_bytes), "candidates")
+    raw = findings.scored(found_in, states, scores)
     row = F.struct("commit_timestamp", "commit_sha", "path", "commit_date", "author")
-    lists = occurrences.groupBy("blob_id").agg(F.sort_array(F.collect_set(row)).alias("os"))
-    raw = findings.scored(detect.candidates(blobs), states, scores)
-    wanted = lists.join(raw.select("blob_id").distinct(), "blob_id", "left_semi")
+    # A report lists the occurrences of its findings; those of other blobs are never gathered.
+    wanted = occurrences.join(found_in.select("blob_id").distinct(), "blob_id", "left_semi").groupBy("blob_id").agg(F.sort_array(F.collect_set(row)).alias("os"))
     gone_ = F.col("exposure_state") != "ACTIVE"
     first, last = F.get("os", F.lit(0)), F.element_at("os", -1)
     final = raw.join(wanted, "blob_id", "left").select(
@@ -186,7 +185,7 @@ def run_scan(spark: SparkSession, path: str, min_confidence: str = "LOW") -> Sca
     gaps = (
         _note(unresolved, "unresolvedPackOnly", F.col("oid"), F.format_string("referenced object %s could not be resolved from storage", "oid"))
         .union(packed.where("note_kind = 'gap'").select("note_type", "location", "description"))
-        .union(_note(sound.join(states.select("oid"), "oid", "left_semi").where(F.col("size") > MAX_BLOB_SCANNED), "skippedOversizeBlob", F.col("oid"), F.format_string("blob %s size %d exceeds 10MB limit and was skipped", "oid", "size")))
+        .union(_note(sound.join(states.select("oid"), "oid", "left_semi").where(F.col("size") > limits.blob_bytes), "skippedOversizeBlob", F.col("oid"), F.format_string("blob %s size %d exceeds 10MB limit and was skipped", "oid", "size")))
         .union(_note(deep, "treeDepthLimitExceeded", F.col("node"), deep_note))
         .withColumnRenamed("location", "target")
         .distinct()
@@ -199,3 +198,22 @@ def ordered_findings(result: ScanResult, minimum: str = "LOW") -> DataFrame:
     rank = detect.TIERS.index(minimum) + 1
     shown = result.findings.where(detect.tier_rank(F.col("confidenceTier")) >= rank)
     return shown.orderBy(detect.tier_rank(F.col("confidenceTier")).desc(), F.col("confidenceScore").desc(), "id")
+
+
+TABLES = ("objects", "reach", "states", "unresolved", "occurrences", "findings", "gaps", "anomalies")
+
+
+def run_scans(spark: SparkSession, paths: list[str], min_confidence: str = "LOW", limits: Limits = Limits()) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """(the tables of all repositories, told apart by ``repo_id``; path to what kept a repository from being scanned)."""
+    out: dict[str, DataFrame] = {}
+    failed: dict[str, str] = {}
+    for path in paths:
+        try:
+            r = run_scan(spark, path, min_confidence, limits)
+        except (RepositoryNotFound, OSError) as e:
+            failed[path] = str(e)
+            continue
+        for name in TABLES:
+            one = getattr(r, name).withColumn("repo_id", F.lit(r.repository.git_dir))
+            out[name] = out[name].unionByName(one) if name in out else one
+    return out, failed

@@ -20,7 +20,8 @@ from orelode.decode.commit import parse_commit, tag_target
 from orelode.decode.envelope import decode_loose
 from orelode.decode.pack import parse_pack
 from orelode.decode.tree import parse_tree
-from orelode.limits import MAX_OBJECT_BYTES, MAX_PACK_BYTES
+from orelode.limits import MAX_OBJECT_BYTES, Limits
+from orelode.session import materialize
 
 _LOOSE = re.compile(r"/([0-9a-fA-F]{2})/([0-9a-fA-F]{38})$")
 _OBJ = ["oid", "type", "size", "payload", "computed_oid", "integrity_mismatch", "trailing_bytes", "source", "location", "pos", "error"]
@@ -75,9 +76,9 @@ def pack_files(objects_dir: str) -> list[str]:
 _PACKED = schemas.OBJECTS + ", note_kind string, note_type string, description string"
 
 
-def pack_rows(path: str, content: bytes) -> Iterator[tuple]:
+def pack_rows(path: str, content: bytes, limits: Limits = Limits()) -> Iterator[tuple]:
     none = (None,) * 6
-    found = parse_pack(content, path)
+    found = parse_pack(content, path, limits.object_bytes, limits.delta_depth, limits.pack_bytes)
     if found.error:
         yield (*none, None, "pack", path, 0, None, "anomaly", "PACK_TRUNCATED_OR_CORRUPTED", f"failed to parse pack file: {found.error}")
         yield (*none, None, "pack", path, 0, None, "gap", "unreadablePack", f"pack file could not be parsed: {found.error}")
@@ -89,19 +90,19 @@ def pack_rows(path: str, content: bytes) -> Iterator[tuple]:
             yield (*none, None, "pack", where, 0, None, kind, t, what)
 
 
-def packed_objects(spark: SparkSession, paths: list[str]) -> DataFrame:
+def packed_objects(spark: SparkSession, paths: list[str], limits: Limits = Limits()) -> DataFrame:
     """A row per object, gap and anomaly of all packs; oversize packs are not read."""
-    fit = [p for p in paths if Path(p).stat().st_size <= MAX_PACK_BYTES]
+    fit = [p for p in paths if Path(p).stat().st_size <= limits.pack_bytes]
     notes = []
     for p in sorted(set(paths) - set(fit)):
-        said = f"pack file size ({Path(p).stat().st_size} bytes) exceeds safety ceiling ({MAX_PACK_BYTES} bytes)"
+        said = f"pack file size ({Path(p).stat().st_size} bytes) exceeds safety ceiling ({limits.pack_bytes} bytes)"
         notes += [(None,) * 7 + ("pack", p, 0, None, k, t, said) for k, t in (("gap", "packTooLarge"), ("anomaly", "PACK_TOO_LARGE"))]
     extra = spark.createDataFrame(notes, _PACKED)
     if not fit:
         return extra
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for p, c in zip(b.column(0), b.column(1)) for r in pack_rows(_local(p.as_py()), c.as_py()))
+        rows = (r for b in batches for p, c in zip(b.column(0), b.column(1)) for r in pack_rows(_local(p.as_py()), c.as_py(), limits))
         yield from _emit(rows, [*_OBJ, "note_kind", "note_type", "description"], [*_OBJ_T, pa.string(), pa.string(), pa.string()])
 
     files = spark.read.format("binaryFile").load(fit).select("path", "content")
@@ -122,6 +123,28 @@ def combined(loose: DataFrame, packed: DataFrame) -> DataFrame:
     return every.join(best, ["oid", "location", "pos"])
 
 
+class ObjectStore:
+    """The objects of one repository: by name, whether there, and all; loose files and packs, or loose files alone.
+
+    ``objects`` is the unified table (:func:`combined`); every answer is a
+    DataFrame, so many names are asked for at once.
+    """
+
+    def __init__(self, spark: SparkSession, objects_dir: str, packs: bool = True, limits: Limits = Limits()) -> None:
+        self.loose = materialize(loose_objects(spark, objects_dir, limits.object_bytes), "loose")
+        self.packed = materialize(packed_objects(spark, pack_files(objects_dir) if packs else [], limits), "packed")
+        self.objects = materialize(combined(self.loose, self.packed), "objects")
+
+    def read(self, names: DataFrame) -> DataFrame:
+        """The sound objects among ``names(oid)``."""
+        return self.objects.where("error is null").join(names.select("oid").distinct(), "oid", "left_semi")
+
+    def exists(self, names: DataFrame) -> DataFrame:
+        """``(oid, there)`` of ``names(oid)``: a loose file of that name counts even if it cannot be read."""
+        there = self.objects.select("oid", (F.col("loose_file") | F.col("error").isNull()).alias("there"))
+        return names.select("oid").distinct().join(there, "oid", "left").withColumn("there", F.coalesce("there", F.lit(False)))
+
+
 # -------------------------------------------------------------- decoding
 
 

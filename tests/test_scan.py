@@ -188,3 +188,34 @@ def test_refs(tmp_path):
             repository.resolve_head(repo)
     with pytest.raises(repository.RepositoryNotFound):
         repository.discover(str(tmp_path / "no" / "where"))
+
+
+def test_many_repositories_and_limits(spark, tmp_path):
+    from orelode.limits import Limits
+    from orelode.plans.scan import run_scans
+    from orelode.sources.objects import ObjectStore
+
+    _, oids = three_states(tmp_path / "a")
+    three_states(tmp_path / "b")
+    tables, failed = run_scans(spark, [str(tmp_path / x) for x in ("a", "b", "missing")], limits=Limits(blob_bytes=30))
+    assert list(failed) == [str(tmp_path / "missing")]
+    got = sorted((r.repo_id[-6:], r.exposureState) for r in tables["findings"].collect())
+    assert got == []  # all blobs are larger than that, and are gaps
+    assert sorted((r.repo_id[-6:], r.type) for r in tables["gaps"].collect()) == [(f"{x}/.git", "skippedOversizeBlob") for x in ("a", "b") for _ in range(3)]
+    s = ObjectStore(spark, str(tmp_path / "a/.git/objects"), packs=False)
+    ask = spark.createDataFrame([(oids["active"],), ("0" * 40,)], "oid string")
+    assert {r.oid: r.there for r in s.exists(ask).collect()} == {oids["active"]: True, "0" * 40: False} and [r.type for r in s.read(ask).collect()] == ["blob"]
+
+
+def test_release(spark):
+    from orelode import session
+
+    kept = session._written[:]
+    session._written.clear()
+    try:
+        t = session.materialize(spark.range(3), "gone")
+        assert t.count() == 3 and session.release(spark) == 1 and session.release(spark) == 0
+        with pytest.raises(Exception, match="(?i)exist|not.found"):
+            t.count()
+    finally:
+        session._written.extend(kept)
