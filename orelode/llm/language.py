@@ -374,7 +374,7 @@ def trained(samples: DataFrame, documents: DataFrame | None = None, rows: int =
     # The confidence is fitted on sentences that machines trained without them are asked about.
     names = sorted({r.text for r in kept})
     apart = {x for x in names if zlib.crc32(x.encode()) % 5 == 0}
-    part = Machines().train(training_rows([(r.lang, r.text) for r in kept if r.lang in known and r.text not in apart]), epochs=4)
+    part = Machines().train(training_rows([(r.lang, r.text) for r in kept if r.lang in known and r.text not in apart]), epochs=3)
     part.calibrate(training_rows([(r.lang, r.text) for r in kept if r.lang in known and r.text in apart], words=False))
     first = Machines().train(base)
     first.slope, first.shift = part.slope, part.shift
