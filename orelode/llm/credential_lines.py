@@ -64,6 +64,11 @@ def secret(r: random.Random, kind: str) -> str:
         return r.choice((r.choice(WORDS), syllables(r, 3), r.choice(WORDS) + str(r.randint(1, 2029)), r.choice(WORDS).capitalize() + str(r.randint(1, 99)) + r.choice(("", "!"))))
     if kind == "V":  # keys of services, known by their first letters
         f = lambda k: "".join(r.choices("0123456789abcdef", k=k))
+        if r.random() < 0.5:  # of services that are not known: a few letters, a sign, and what is made up
+            head = "".join(r.choices(string.ascii_lowercase, k=r.randint(2, 6)))
+            head = r.choice((head, head, head.upper(), head + r.choice("_-") + "".join(r.choices(string.ascii_lowercase, k=3)), head.upper() + "-" + syllables(r, 2).upper(), head + str(r.randint(0, 9))))
+            body = r.choice((lambda n: _alnum(r, n), lambda n: _alnum(r, n, "-_"), lambda n: f(n // 4 * 4), lambda n: "".join(r.choices(string.ascii_uppercase + string.digits, k=n))))
+            return head + r.choice("__--.") + body(r.randint(24, 64))
         return r.choice((
             lambda: f"sk_live_{_alnum(r, r.choice((24, 32, 48)))}", lambda: f"rk_live_{_alnum(r, 24)}", lambda: f"AIza{_alnum(r, 35, '-_')}", lambda: f"glpat-{_alnum(r, 20, '-_')}", lambda: f"npm_{_alnum(r, 36)}", lambda: f"hf_{_alnum(r, 34)}",
             lambda: f"SG.{_alnum(r, 22, '-_')}.{_alnum(r, 43, '-_')}", lambda: f"shpat_{f(32)}", lambda: f"dop_v1_{f(64)}", lambda: f"ya29.{_alnum(r, 60, '-_')}", lambda: f"pypi-{_alnum(r, 80, '-_')}", lambda: f"github_pat_{_alnum(r, 22)}_{_alnum(r, 59)}",
@@ -79,7 +84,7 @@ def secret(r: random.Random, kind: str) -> str:
     if style == 3:
         return syllables(r, 1).capitalize() + r.choice(("é", "ü", "ñ", "ö")) + syllables(r, 1) + r.choice(("ß", "ø", "")) + str(r.randint(100, 999))
     if style == 4:
-        return _alnum(r, r.randint(10, 20), "!#$%*+_.-&^~")
+        return _alnum(r, r.choice((10, 12, 14, 16, 20, 20, 40, 64)), r.choice(("!#$%*+_.-&^~", "!#$%*+_.-&^~|=?@")))
     if style == 5:
         return _alnum(r, r.randint(8, 12)) + r.choice("!#%")
     if style == 6:
@@ -105,6 +110,14 @@ DB_PASSWORD={SW}
 {w}('{w}', '{SV}')
 {w} = '{SV}'
 {v} = "{SV}"
+{v} = "{SV}"
+{v} := {v}(`{SV}`)
+{w} {SV} --{w} {w}.txt
+{w}.{v}("{w}.{w}", "{SV}")
+{U}={SV}
+{U}_{U}={SV}
+{w}: {SV}
+{w}({w}, '{SV}')
 {w}: {SV}
 {U}_{d}={SV}
 {v}.{w}("{SV}")
@@ -146,6 +159,8 @@ contrasena = '{SP}'
 <property name="{w}.password" value="{SP}"/>
 <add key="{w}Password" value="{SP}" />
 define('{U}_PASSWORD', '{SP}');
+define( '{U}_KEY', '{SP}' );
+{w} -k {SL} {w}.{w}
 define("{U}_SECRET", "{SP}");
 CREATE USER {v} IDENTIFIED BY '{SP}';
 ALTER USER {v} WITH PASSWORD '{SP}';

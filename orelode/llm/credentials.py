@@ -515,12 +515,23 @@ def key_end(text: str, at: int) -> int:
     return end.end() if end else z
 
 
+def _said(s: str) -> bool:
+    """Words of letters alone, of which some are not ASCII."""
+    try:
+        s = s.encode("latin-1").decode()
+    except (UnicodeEncodeError, UnicodeDecodeError):
+        pass
+    return all(w.isalpha() for w in s.rstrip(".,;:!?。、").split())
+
+
 def accepted(text: str, a: int, z: int) -> tuple[int, int] | None:
     """The exact span of a credential the field found, or None."""
     while a < z and text[a] in _TRIM:
         a += 1
     while z > a and text[z - 1] in _TRIM:
         z -= 1
+    while z > a and text[z - 1] == "\\" and text[z : z + 1] in ('"', "'"):  # the quote behind is escaped
+        z -= 1
     s = text[a:z]
     head = _PEM_HEAD.search(text, max(0, a - 48), min(len(text), z + 80))
     if head and head.start() <= a + 3 and (a <= head.end() or _PEM_BODY.match(text, head.end(), z + 80)):
@@ -533,6 +544,8 @@ def accepted(text: str, a: int, z: int) -> tuple[int, int] | None:
         line = text[max(text.rfind("\n", 0, a), text.rfind("\r", 0, a)) + 1 :][:200].splitlines()[0]
         if re.fullmatch(r"[+\- \t\"']*[A-Za-z0-9+/=]{20,}[\s\"',;\\nr]*", line):  # part of the public block
             return None
+    if not s.isascii() and _said(s):
+        return None
     if _REFERENCE.match(s) or re.fullmatch(r"[*x.X_-]+", s):
         return None
     m = re.match(r"LS0tLS1CRUdJTi[A-Za-z0-9+/]{20,}", s)
