@@ -218,7 +218,7 @@ def pack_frames(spark: SparkSession, d: str) -> DataFrame:
 def parsed_commits(spark: SparkSession, d: str) -> DataFrame:
     """Every commit payload, parsed."""
     c = store.parsed_commits(_objects(spark, d).distinct())
-    return c.select("oid", "tree", "parents", "author", "timestamp", "zone", "committer", F.size("extra_headers").alias("n_extra"), F.sha2("message", 256).alias("message_digest"), "error")
+    return c.select("oid", "tree", F.array_join("parents", " ").alias("parents"), "author", "timestamp", "zone", "committer", F.size("extra_headers").alias("n_extra"), F.sha2("message", 256).alias("message_digest"), "error")
 
 
 def parsed_trees(spark: SparkSession, d: str) -> DataFrame:
@@ -349,7 +349,7 @@ SELECT oid, CASE WHEN good THEN 'object' WHEN x = '1' THEN 'gap' ELSE 'anomaly'
     ]),
     "parsed_commits": """
 WITH o AS (SELECT DISTINCT oid, type, payload FROM fx_object WHERE type = 'commit' AND oid IS NOT NULL AND payload IS NOT NULL), t AS (SELECT oid, decode(payload) AS t FROM o), h AS (SELECT oid, split_part(t, chr(10) || chr(10), 1) AS h, substr(t, strpos(t, chr(10) || chr(10)) + 2) AS m FROM t)
-SELECT oid, regexp_extract(h, '^tree ([0-9a-f]{40})', 1) AS tree, regexp_extract_all(h, '(?m)^parent ([0-9a-f]{40})$', 1) AS parents, regexp_extract(h, '(?m)^author (.*>) \\d+ [+-]\\d{4}$', 1) AS author, CAST(regexp_extract(h, '(?m)^author .*> (\\d+) [+-]\\d{4}$', 1) AS BIGINT) AS timestamp,
+SELECT oid, regexp_extract(h, '^tree ([0-9a-f]{40})', 1) AS tree, array_to_string(regexp_extract_all(h, '(?m)^parent ([0-9a-f]{40})$', 1), ' ') AS parents, regexp_extract(h, '(?m)^author (.*>) \\d+ [+-]\\d{4}$', 1) AS author, CAST(regexp_extract(h, '(?m)^author .*> (\\d+) [+-]\\d{4}$', 1) AS BIGINT) AS timestamp,
   regexp_extract(h, '(?m)^author .*> \\d+ ([+-]\\d{4})$', 1) AS zone, regexp_extract(h, '(?m)^committer (.*>) \\d+ [+-]\\d{4}$', 1) AS committer, CAST(len(regexp_extract_all(h, '(?m)^[^ ]+')) - len(regexp_extract_all(h, '(?m)^(?:tree|parent|author|committer) ')) AS INTEGER) AS n_extra, sha256(m) AS message_digest, CAST(NULL AS VARCHAR) AS error FROM h""",
     "parsed_trees": """
 WITH RECURSIVE t AS (SELECT DISTINCT oid, hex(payload) AS h FROM fx_object WHERE type = 'tree' AND oid IS NOT NULL AND payload IS NOT NULL),
